@@ -37,6 +37,8 @@ def resolve(df: DataFrame, ref: str, person: DataFrame, out: str = "person_key")
     key = F.when(names_somebody(F.col(ref)), trimmed(F.col(ref)))
     w = wiki_map(person)
     left = df.withColumn("__ref", key)
-    joined = left.join(w, left["__ref"] == w["wiki_key"], "left")
+    # Rows that name nobody are spread over partitions under keys that match nothing.
+    nobody = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.lit(997)).cast("string"))
+    joined = left.join(w, F.coalesce(left["__ref"], nobody) == w["wiki_key"], "left")
     kept = [left[c] for c in df.columns if c != out]
     return joined.select(*kept, F.coalesce(w["wiki_person"], left["__ref"]).alias(out))
