@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plenumspark.llm.pages import line_defects, paragraphs
 from plenumspark.llm.turns import speaker_turns
 from plenumspark.session import table
 
@@ -21,5 +22,14 @@ def p2_turns(spark: SparkSession, d: str) -> DataFrame:
     return _turns(spark, d, True)
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_turns)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return line_defects(table(spark, d, "protocol_segments").select("u_id", "data"))
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired paragraphs of every segment."""
+    return paragraphs(table(spark, d, "protocol_segments").select("u_id", "data"))
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p2_turns, p4_found, p4_paragraphs)}
 SQL: dict[str, str] = {}
