@@ -19,14 +19,14 @@ WEEKDAYS = "måndagen tisdagen onsdagen torsdagen fredagen lördagen söndagen".
 MONTHS = "januari februari mars april maj juni juli augusti september oktober november december".split()
 MISREAD = {
     "rn": "m", "c": "e", "e": "c", "u": "n", "n": "u", "ſ": "f", "lc": "k", "cl": "d", "q": "g", "a": "åä", "o": "ö", "y": "v", "v": "y",
-    "0": "oö", "1": "li", "5": "s", "6": "öb", "8": "b", "9": "g", "l": "i", "i": "l", "li": "h", "ii": "ä", "&": "å", "t": "f",
+    "0": "oö", "1": "li", "5": "s", "6": "öb", "8": "b", "9": "g", "l": "i", "i": "l", "ii": "ä", "&": "å", "t": "f", "b": "h", "h": "b",
 }
 #: One character read for two printed ones.
 MERGED = {"m": "rn", "d": "ti"}
 #: Characters and pairs to the one that stands for all they are mixed up with.
 _PAIRS = re.compile("rn|lc|cl|ii")
 _PAIR_TO = {"rn": "m", "lc": "k", "cl": "d", "ii": "a"}
-_SINGLE = str.maketrans({"c": "e", "u": "n", "ſ": "f", "q": "g", "å": "a", "ä": "a", "&": "a", "ö": "o", "y": "v", "0": "o", "1": "l", "i": "l", "5": "s", "6": "o", "8": "b", "9": "g"})
+_SINGLE = str.maketrans({"c": "e", "u": "n", "ſ": "f", "q": "g", "å": "a", "ä": "a", "&": "a", "ö": "o", "y": "v", "h": "b", "0": "o", "1": "l", "i": "l", "5": "s", "6": "o", "8": "b", "9": "g"})
 
 HYPHENS = "-‐\xad¬"
 #: A frequent word makes up at least this share of all words, so there are at most 1 / SHARE of them.
@@ -60,13 +60,15 @@ _YEAR = re.compile(r"(?=.*\d)(?=.*[^\d])[1lIi2Z][\dlIioOSsgqBZ]{3}\Z")
 
 def skeleton(word: str) -> str:
     """The word with all characters that are mixed up with each other made one."""
-    return _PAIRS.sub(lambda m: _PAIR_TO[m.group()], word.lower()).translate(_SINGLE).replace("tl", "d")
+    return _PAIRS.sub(lambda m: _PAIR_TO[m.group()], word.lower().replace("u", "n")).translate(_SINGLE).replace("tl", "d")
 
 
 def skeletons(word: str) -> list[str]:
     """All skeletons of a word whose pairs can be read in more than one way."""
     low = word.lower()
-    return [skeleton(low)] + [skeleton(low.replace("lcl", "ld"))] * ("lcl" in low)
+    if "lc" not in low and "cl" not in low:
+        return [skeleton(low)]
+    return sorted({skeleton(x) for x in (low, low.replace("lcl", "ld"), low.replace("lc", "k"), low.replace("c", "e"))})
 
 
 def misread_at(read: str, printed: str) -> list[int] | None:
