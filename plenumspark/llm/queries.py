@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plenumspark.llm.pages import line_defects, paragraphs
+from plenumspark.llm.sentences import sentences
 from plenumspark.llm.turns import speaker_turns
 from plenumspark.session import table
 
@@ -31,5 +32,9 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return paragraphs(table(spark, d, "protocol_segments").select("u_id", "data"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_turns, p4_found, p4_paragraphs)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents").select("doc_id", "text"))
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p2_turns, p4_found, p4_paragraphs, p9_found)}
 SQL: dict[str, str] = {}
