@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plenumspark.llm.leakage import leaks
 from plenumspark.llm.pages import line_defects, paragraphs
 from plenumspark.llm.sentences import sentences
 from plenumspark.llm.turns import speaker_turns
@@ -32,9 +34,19 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return paragraphs(table(spark, d, "protocol_segments").select("u_id", "data"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every item with the number of documents it leaked into."""
+    found = p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    return table(spark, d, "benchmark").select("item_id").distinct().join(found, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_turns, p4_found, p4_paragraphs, p9_found)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_turns, p4_found, p4_paragraphs, p8_found, p8_items, p9_found)}
 SQL: dict[str, str] = {}
