@@ -170,10 +170,10 @@ class ItemIndex:
 
 
 def _close(a: str, b: str) -> bool:
-    """Whether one word can be a misspelling of the other: at most one letter in three differs."""
-    if abs(len(a) - len(b)) > 2:
+    """Whether one word can be a misspelling of the other: one letter wrong, missing, extra or swapped, two in words of eight letters or more."""
+    most = 1 if min(len(a), len(b)) < 8 else 2
+    if abs(len(a) - len(b)) > most:
         return False
-    most = max(1, max(len(a), len(b)) // 3)
     previous = list(range(len(b) + 1))
     before: list[int] = []
     for i, x in enumerate(a, 1):
@@ -191,29 +191,32 @@ def holds_passage(doc: list[str], item: list[str]) -> bool:
     """Whether `doc` holds WINDOW item words on end in order, with about one error in WORDS_AN_ERROR.
 
     A local alignment that begins and ends with equal words; a misspelled, missing or extra word is one
-    error, another word in its place two.
+    error, another word in its place two. Missing words are not held.
     """
     m = len(item)
-    none = (0, 0, 0)  # score, first item word, errors
+    none = (0, 0, 0, 0)  # score, first item word, errors, missing words
     previous = [none] * (m + 1)
     for x in doc:
         current = [none] * (m + 1)
         for j, y in enumerate(item, 1):
-            diagonal = previous[j - 1]
+            score, first, errors, missing = previous[j - 1]
+            best = none
             if x == y:
-                best = (diagonal[0] + 1, diagonal[1], diagonal[2]) if diagonal[0] > 0 else (1, j - 1, 0)
+                best = (score + 1, first, errors, missing) if score > 0 else (1, j - 1, 0, 0)
                 n = j - best[1]
-                if n >= WINDOW and best[2] <= (n + WORDS_AN_ERROR // 2) // WORDS_AN_ERROR:
+                if n - best[3] >= WINDOW and best[2] <= (n + WORDS_AN_ERROR // 2) // WORDS_AN_ERROR:
                     return True
-            else:
-                best = none
-                if diagonal[0] > 2:
-                    e = 1 if _close(x, y) else 2
-                    if diagonal[0] > 2 * e:
-                        best = (diagonal[0] - 2 * e, diagonal[1], diagonal[2] + e)
-            for other in (previous[j], current[j - 1]):
-                if other[0] - 2 > best[0]:
-                    best = (other[0] - 2, other[1], other[2] + 1)
+            elif score > 2:
+                if _close(x, y):
+                    best = (score - 2, first, errors + 1, missing)
+                elif score > 4:
+                    best = (score - 4, first, errors + 2, missing + 1)
+            score, first, errors, missing = previous[j]
+            if score - 2 > best[0]:
+                best = (score - 2, first, errors + 1, missing)
+            score, first, errors, missing = current[j - 1]
+            if score - 2 > best[0]:
+                best = (score - 2, first, errors + 1, missing + 1)
             current[j] = best
         previous = current
     return False
