@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenumspark.llm.leakage import leaks
+from plenumspark.llm.packing import containers
 from plenumspark.llm.pages import line_defects, paragraphs
 from plenumspark.llm.sentences import sentences
 from plenumspark.llm.turns import speaker_turns
@@ -34,6 +35,18 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return paragraphs(table(spark, d, "protocol_segments").select("u_id", "data"))
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return containers(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "context_budget"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of each capacity, their tokens, and the fewest containers that could hold them."""
+    budgets = table(spark, d, "context_budget").select("budget_id", "capacity_tokens").distinct()
+    placed = p7_containers(spark, d).groupBy("budget_id", "container_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("n"))
+    filled = placed.groupBy("budget_id").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"))
+    return filled.join(budgets, "budget_id").select("budget_id", "capacity_tokens", "n_containers", "n_tokens", "fullest", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("fewest"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"))
 
@@ -48,5 +61,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_turns, p4_found, p4_paragraphs, p8_found, p8_items, p9_found)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_turns, p4_found, p4_paragraphs, p7_containers, p7_fill, p8_found, p8_items, p9_found)}
 SQL: dict[str, str] = {}
