@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from plenumspark.functions.text import chamber_of, join_paragraphs, protocol_label
 from plenumspark.functions.tokenize import sentences
-from plenumspark.operators.sequence import ORDER, speech_numbers, speeches
+from plenumspark.operators.sequence import order, speech_numbers, speeches
 
 COLUMNS = [
     "protocol_name", "chamber_abbrev", "segment_level", "name", "who", "id", "u_id", "data", "page_number", "year", "n_utterances",
@@ -59,7 +59,7 @@ def segments(utterances: DataFrame, level: str = "speech", strategy: str = "chai
         p = u.groupBy("protocol_name").agg(joined.alias("data"), F.min("year").alias("year"), F.count("*").alias("n_utterances"), F.min("page_number").alias("page_number"))
         out = _finish(p.withColumn("name", F.col("protocol_name")).withColumn("id", F.col("protocol_name")), level, year)
     else:
-        n = u.withColumn("__no", F.row_number().over(ORDER)).withColumn("name", F.concat("protocol_name", F.lit("_"), _three(F.col("__no")))).withColumn("n_utterances", F.lit(1))
+        n = u.withColumn("__no", F.row_number().over(order())).withColumn("name", F.concat("protocol_name", F.lit("_"), _three(F.col("__no")))).withColumn("n_utterances", F.lit(1))
         if level == "utterance":
             out = _finish(n.withColumn("id", F.col("u_id")).withColumn("data", F.col("__text")), level, year)
         else:

@@ -11,11 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.window import WindowSpec
 
 from plenumspark.operators.runs import number_runs
 
-ORDER = W.partitionBy("protocol_name").orderBy("u_idx", "u_id")
-RUNNING = ORDER.rowsBetween(W.unboundedPreceding, W.currentRow)
+
+def order() -> WindowSpec:
+    """A protocol's utterances in order."""
+    return W.partitionBy("protocol_name").orderBy("u_idx", "u_id")
+
+
+def running() -> WindowSpec:
+    return order().rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
 def _blank(name: str) -> Column:
@@ -37,10 +44,10 @@ def _chain(unknowns_go_on: bool) -> Callable[[DataFrame], DataFrame]:
     def go(df: DataFrame) -> DataFrame:
         start = _blank("prev_id")
         if unknowns_go_on:
-            df = df.withColumn("__w", F.lag("who").over(ORDER)).withColumn("__n", F.lag("speaker_note_id").over(ORDER))
+            df = df.withColumn("__w", F.lag("who").over(order())).withColumn("__n", F.lag("speaker_note_id").over(order()))
             goes_on = _blank("next_id") & (F.col("who") == "unknown") & (F.col("__w") == "unknown") & F.col("__n").eqNullSafe(F.col("speaker_note_id"))
             start = start & ~F.coalesce(goes_on, F.lit(False))
-        out = df.withColumn("__start", start.cast("long")).withColumn("__chain", F.sum("__start").over(RUNNING))
+        out = df.withColumn("__start", start.cast("long")).withColumn("__chain", F.sum("__start").over(running()))
         # What comes before the first start belongs to no speech.
         return out.where("__chain > 0").withColumn("group_no", F.col("__chain")).drop("__start", "__chain", "__w", "__n")
 
@@ -109,7 +116,7 @@ def speeches(utterances: DataFrame, name: str = "chain", skip_size: int = 1, tex
 
 def orphans_of_chain(utterances: DataFrame) -> DataFrame:
     """(protocol_name, n_orphans): utterances before the first start of a chain, which no speech holds."""
-    c = utterances.withColumn("__chain", F.sum(_blank("prev_id").cast("long")).over(RUNNING))
+    c = utterances.withColumn("__chain", F.sum(_blank("prev_id").cast("long")).over(running()))
     return c.where("__chain = 0").groupBy("protocol_name").agg(F.count("*").alias("n_orphans"))
 
 
@@ -139,5 +146,5 @@ def checked(utterances: DataFrame, name: str = "chain") -> DataFrame:
 
 def broken_links(utterances: DataFrame) -> DataFrame:
     """(protocol_name, u_id, prev_id, expected): utterances whose prev_id isn't the u_id before them."""
-    u = utterances.withColumn("expected", F.lag("u_id").over(ORDER))
+    u = utterances.withColumn("expected", F.lag("u_id").over(order()))
     return u.where(~_blank("prev_id") & ~F.col("prev_id").eqNullSafe(F.col("expected"))).select("protocol_name", "u_id", "prev_id", "expected")
