@@ -22,13 +22,12 @@ TAGGED = T.StructType(
 )
 
 
-def source_index(spark: SparkSession, path: str, pattern: str = "*", years: str | None = None, skip_empty: bool = True) -> DataFrame:
-    """(path, filename, name, subfolder, year, length) of the files below `path`, without reading them."""
+def source_index(spark: SparkSession, path: str, pattern: str = "*", years: str | None = None) -> DataFrame:
+    """(path, filename, name, subfolder, year, length) of the files below `path`, without reading them; empty files are left out."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "length")
     f = f.withColumn("filename", F.regexp_extract("path", r"([^/]*)$", 1)).withColumn("name", base_name("path")).withColumn("subfolder", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1))
     f = f.withColumn("year", year_of_protocol("name"))
-    if skip_empty:
-        f = f.where(F.col("length") > 0)
+    f = f.where(F.col("length") > 0)
     return f.where(in_years("year", years)) if years else f
 
 
