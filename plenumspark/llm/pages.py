@@ -40,7 +40,7 @@ _NEVER = -1e9
 _TRANSITION = (
     (0.0, -1.2, -1.2, 0.0),
     (-0.2, -2.0, -0.3, -0.2),
-    (-0.2, -0.3, -6.0, -0.2),
+    (-0.2, -0.3, -3.0, -0.2),
     (0.0, -0.9, -0.9, -0.5),
 )
 _START = (0.0, -1.0, -1.0, -0.5)

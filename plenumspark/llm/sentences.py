@@ -46,6 +46,7 @@ _TOKEN_BEFORE = re.compile(r"[^\s()\[\]“”„\"«»「」（）,;:!?…–—
 _WORD_BEFORE = re.compile(r"(\S+)\s+\Z")
 _LIST_MARK = re.compile(r"(?:§\s*)?(?:\d{1,3}|[A-Za-zÅÄÖåäö]|[IVXLC]{1,6})\Z")
 _MARK_ONLY = re.compile(r"\s*(?:§\s*)?(?:\d{1,3}|\w|[IVXLC]{1,6})[.)]?\s*\Z")
+_LETTER_ITEM = re.compile(r"[a-zåäö]\)\s")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿＀-￯]")
 _NEXT_CLAUSE = re.compile(r"[^.!?…।؟。！？“”„\"«»「」\n]{0,80}")
 
@@ -87,6 +88,12 @@ def _pairs(p: str) -> tuple[dict[int, int], list[tuple[int, int]]]:
     return closes, outer
 
 
+def _abbreviated(p: str, at: int) -> bool:
+    m = _TOKEN_BEFORE.search(p, max(0, at - 24), at)
+    low = m.group().lower() if m else ""
+    return low in INNER and low not in FINAL
+
+
 def _strength(p: str, at: int, end: int, mark: str, german: bool) -> tuple[float, float, int]:
     """Log odds that a sentence ends at `end`: in general, and if its span starts at the place given third.
 
@@ -107,6 +114,8 @@ def _strength(p: str, at: int, end: int, mark: str, german: bool) -> tuple[float
         return NEVER, NEVER, -1
     if following in ",，、":
         return NEVER, NEVER, -1
+    if following.islower() and spaced and _LETTER_ITEM.match(p, nxt) and not (mark == "." and _abbreviated(p, at)):
+        return 4.0, 4.0, -1
     if following.islower() or (not spaced and end > at + len(mark) and following in "とをがはのにでもっや"):
         return NEVER, NEVER, -1
     if not spaced and not wide:
