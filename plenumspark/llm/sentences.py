@@ -43,6 +43,8 @@ _BRACKETS = {")": "(", "）": "（", "]": "[", "」": "「", "』": "『", "》"
 _CLOSES = {"“": "”\"", "”": "”", "„": "“”\"", '"': '"', "«": "»", "»": "«"}
 _END = re.compile(r"[.!?…।؟。！？｡]+(?:[!?。！？])*|(?<=[Ͱ-Ͽἀ-῿]);|;|(?:" + "|".join(sorted(PARTICLES, key=len, reverse=True)) + r")(?=\s|$|[”\"」])")
 _TOKEN_BEFORE = re.compile(r"[^\s()\[\]“”„\"«»「」（）,;:!?…–—/]+\Z")
+#: A sentence that ended without a space before this token ("pct.Kl").
+_JOINED = re.compile(r"^\S*[a-zåäöéæø]{2}\.(?=[A-ZÅÄÖ])")
 _WORD_BEFORE = re.compile(r"(\S+)\s+\Z")
 _LIST_MARK = re.compile(r"(?:§\s*)?(?:\d{1,3}|[A-Za-zÅÄÖåäö]|[IVXLC]{1,6})\Z")
 _MARK_ONLY = re.compile(r"\s*(?:§\s*)?(?:\d{1,3}|\w|[IVXLC]{1,6})[.)]?\s*\Z")
@@ -136,11 +138,11 @@ def _strength(p: str, at: int, end: int, mark: str, german: bool) -> tuple[float
     if mark != ".":
         return 4.5, 4.5, -1
     m = _TOKEN_BEFORE.search(p, max(0, at - 24), at)
-    token = m.group() if m else ""
+    token = _JOINED.sub("", m.group()) if m else ""
     start = at - len(token)
     low = token.lower()
     marked = start
-    if start >= 1 and p[start - 1] in " §":
+    if start >= 1 and (p[start - 1] == "§" or p[start - 1].isspace()):
         k = p.rfind("§", max(0, start - 2), start)
         marked = k if k >= 0 else start
     if end > at + 1:  # closers after the full stop: the token is no abbreviation
