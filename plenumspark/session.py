@@ -47,6 +47,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` on as many partitions as there are cores, where its files give fewer: for Python work on small inputs.
+
+    Large inputs have more splits than that and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     """`df` hinted for broadcast if it has no more than `most_rows` rows, else unchanged (a shuffle join)."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
