@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plenumspark.session import spread
+
 #: Item words on end that make a leak, and item words for each one that may be misspelled, left out or put in.
 WINDOW, WORDS_AN_ERROR = 10, 8
 #: Words of a shingle. TESTDATA fixes ten words with about one error in eight; no five-word shingle need survive an error in their midst.
@@ -30,6 +33,8 @@ ITEMS_A_PASS = 5000
 
 _BROKEN = re.compile(r"[-‐‑­¬]\s*")
 _WORD = re.compile(r"[^\W_]+")
+#: All combining marks of Unicode.
+_MARKS = re.compile("[" + "".join(map(re.escape, (chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))))) + "]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -37,7 +42,7 @@ def words_of(text: str) -> list[str]:
     text = _BROKEN.sub("", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
+        text = _MARKS.sub("", text)
     return _WORD.findall(text.casefold())
 
 
@@ -169,6 +174,7 @@ class ItemIndex:
         return (min(a for a, _ in spans), max(b for _, b in spans)) if spans else None
 
 
+@lru_cache(maxsize=1 << 17)
 def _close(a: str, b: str) -> bool:
     """Whether one word can be a misspelling of the other: one letter wrong, missing, extra or swapped, two in words of eight letters or more."""
     most = 1 if min(len(a), len(b)) < 8 else 2
@@ -191,33 +197,39 @@ def holds_passage(doc: list[str], item: list[str]) -> bool:
     """Whether `doc` holds WINDOW item words on end in order, with about one error in WORDS_AN_ERROR.
 
     A local alignment that begins and ends with equal words; a misspelled, missing or extra word is one
-    error, another word in its place two. Missing words are not held.
+    error and takes 2 of the score, another word in its place is two. Missing words are not held. Only
+    cells with a score are kept, so what doesn't match costs next to nothing.
     """
+    places: dict[str, list[int]] = defaultdict(list)
+    for j, w in enumerate(item):
+        places[w].append(j)
     m = len(item)
-    none = (0, 0, 0, 0)  # score, first item word, errors, missing words
-    previous = [none] * (m + 1)
+    previous: dict[int, tuple[int, int, int, int]] = {}  # words of the item used -> score, first word, errors, missing words
     for x in doc:
-        current = [none] * (m + 1)
-        for j, y in enumerate(item, 1):
-            score, first, errors, missing = previous[j - 1]
-            best = none
-            if x == y:
-                best = (score + 1, first, errors, missing) if score > 0 else (1, j - 1, 0, 0)
-                n = j - best[1]
-                if n - best[3] >= WINDOW and best[2] <= (n + WORDS_AN_ERROR // 2) // WORDS_AN_ERROR:
-                    return True
-            elif score > 2:
-                if _close(x, y):
-                    best = (score - 2, first, errors + 1, missing)
-                elif score > 4:
-                    best = (score - 4, first, errors + 2, missing + 1)
-            score, first, errors, missing = previous[j]
-            if score - 2 > best[0]:
-                best = (score - 2, first, errors + 1, missing)
-            score, first, errors, missing = current[j - 1]
-            if score - 2 > best[0]:
-                best = (score - 2, first, errors + 1, missing + 1)
-            current[j] = best
+        current: dict[int, tuple[int, int, int, int]] = {}
+        for j, (score, first, errors, missing) in previous.items():
+            if j < m:
+                if item[j] == x:
+                    to = (score + 1, first, errors, missing)
+                    n = j + 1 - first
+                    if n - missing >= WINDOW and errors <= (n + WORDS_AN_ERROR // 2) // WORDS_AN_ERROR:
+                        return True
+                elif score > 2 and _close(x, item[j]):
+                    to = (score - 2, first, errors + 1, missing)
+                else:
+                    to = (score - 4, first, errors + 2, missing + 1)
+                if to[0] > 0 and (j + 1 not in current or current[j + 1][0] < to[0]):
+                    current[j + 1] = to
+            if score > 2 and (j not in current or current[j][0] < score - 2):
+                current[j] = (score - 2, first, errors + 1, missing)
+        for j in places.get(x, ()):
+            if j + 1 not in current:
+                current[j + 1] = (1, j, 0, 0)
+        for j in sorted(current):
+            score, first, errors, missing = current[j]
+            while score > 2 and j < m and (j + 1 not in current or current[j + 1][0] < score - 2):
+                score, errors, missing, j = score - 2, errors + 1, missing + 1, j + 1
+                current[j] = (score, first, errors, missing)
         previous = current
     return False
 
@@ -279,7 +291,7 @@ def leaks(documents: DataFrame, items: DataFrame, items_a_pass: int = ITEMS_A_PA
     Items of fewer than ten words and null or blank texts lead to no case. Repeated rows count once.
     """
     spark = documents.sparkSession
-    docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    docs = spread(documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"))
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     passes = max(1, math.ceil(rows.count() / items_a_pass))
     parts = []

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plenumspark.session import checkpointed
+from plenumspark.session import checkpointed, spread
 
 # Words of running headers, and what page recognition makes of characters (read: printed).
 WEEKDAYS = "måndagen tisdagen onsdagen torsdagen fredagen lördagen söndagen".split()
@@ -352,6 +352,7 @@ def _find(batches: Iterator[pd.DataFrame], frequent) -> Iterator[pd.DataFrame]:
 def _candidates(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Defects and words too rare to know by heart, in one pass, and the misread words of the corpus."""
     spark = segments.sparkSession
+    segments = spread(segments.select("u_id", "data"))
     counts = checkpointed(word_counts(segments))
     misread = misread_words(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0

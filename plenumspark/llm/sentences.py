@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from plenumspark.session import spread
+
 # Words of the languages. An abbreviation is written without its last full stop.
 #: Abbreviations that are followed by more of the sentence.
 INNER = set(
@@ -324,4 +326,4 @@ def sentences(documents: DataFrame) -> DataFrame:
     always end a sentence, single line breaks never. Null and blank texts have none; rows without doc_id
     are left out; a doc_id in two rows gives both rows' sentences.
     """
-    return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(_split, "doc_id long, sent_no int, start_char int, end_char int")
+    return spread(documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")).mapInPandas(_split, "doc_id long, sent_no int, start_char int, end_char int")
