@@ -11,6 +11,16 @@ BITS, LEVELS = 6, 4
 WORD = 1 << BITS
 
 
+def _bits_of(level: int) -> tuple[Column, Column]:
+    """The bits of a level that lie wholly within first..last, half open."""
+    unit = 1 << (BITS * level)
+    return F.shiftright(F.col("first") + (unit - 1), BITS * level), F.shiftright(F.col("last") + 1, BITS * level)
+
+
+def _run(level: int, a: Column, b: Column) -> Column:
+    return F.when(a < b, F.struct(F.lit(level).alias("level"), a.alias("a"), b.alias("b")))
+
+
 def run_bitmap(spans: DataFrame) -> DataFrame:
     """(entity, level, word, bits): the union of all spans as a compressed run bitmap.
 
@@ -19,25 +29,21 @@ def run_bitmap(spans: DataFrame) -> DataFrame:
     most two words a level, however long it is. Words are united by a bitwise-or aggregate that combines
     before the shuffle, so an entity with many rows costs no more than its distinct words.
     """
-    # At each level the span is the half-open run [lo, hi) of that level's bits; whole words go up a level.
+    # At level l the span is the half-open run [lo, hi) of bits; where whole words lie in it, they go up a level.
     parts = []
-    lo, hi = F.col("first"), F.col("last") + 1
     for level in range(LEVELS):
-        up_lo, up_hi = F.ceil(lo / F.lit(WORD)), F.floor(hi / F.lit(WORD))
+        lo, hi = _bits_of(level)
         if level == LEVELS - 1:
-            up_lo, up_hi = hi, lo  # nothing goes up from the last level; its runs are few words
-        whole = up_lo < up_hi
-        if level < LEVELS - 1:
-            head = F.when(whole, F.struct(lo.alias("a"), (up_lo * WORD).alias("b"))).otherwise(F.struct(lo.alias("a"), hi.alias("b")))
-            tail = F.when(whole, F.struct((up_hi * WORD).alias("a"), hi.alias("b")))
+            head, tail = _run(level, lo, hi), None
         else:
-            head, tail = F.struct(lo.alias("a"), hi.alias("b")), F.lit(None).cast("struct<a:bigint,b:bigint>")
-        for part in (head, tail):
-            parts.append(F.when(part.isNotNull() & (part["a"] < part["b"]), F.struct(F.lit(level).alias("level"), part["a"].cast("long").alias("a"), part["b"].cast("long").alias("b"))))
-        lo, hi = F.when(whole, up_lo).otherwise(F.lit(0)), F.when(whole, up_hi).otherwise(F.lit(0))
+            up_lo, up_hi = _bits_of(level + 1)
+            whole = up_lo < up_hi
+            head = _run(level, lo, F.when(whole, F.shiftleft(up_lo, BITS)).otherwise(hi))
+            tail = F.when(whole, _run(level, F.shiftleft(up_hi, BITS), hi))
+        parts += [x for x in (head, tail) if x is not None]
     runs = spans.select("entity", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("r")).select("entity", "r.level", "r.a", "r.b")
     # A run of one level may cross a word's edge once (or several times at the last level).
-    words = runs.select("entity", "level", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / WORD), F.floor((F.col("b") - 1) / WORD))).alias("word"))
+    words = runs.select("entity", "level", "a", "b", F.explode(F.sequence(F.shiftright("a", BITS), F.shiftright(F.col("b") - 1, BITS))).alias("word"))
     x = F.greatest(F.col("a") - F.col("word") * WORD, F.lit(0)).cast("int")
     y = F.least(F.col("b") - 1 - F.col("word") * WORD, F.lit(WORD - 1)).cast("int")
     masked = words.withColumn("x", x).withColumn("y", y).withColumn("bits", F.expr(f"shiftleft(shiftrightunsigned(-1L, {WORD - 1} - (y - x)), x)"))
@@ -48,7 +54,10 @@ def set_runs(bitmap: DataFrame) -> DataFrame:
     """(entity, first, last): the set runs of the bitmap's words, in units, not yet joined across words."""
     at = lambda bits: F.expr(f"filter(sequence(0, {WORD - 1}), i -> (shiftrightunsigned({bits}, i) & 1L) = 1)")
     w = bitmap.withColumn("starts", F.expr("bits & ~shiftleft(bits, 1)")).withColumn("ends", F.expr("bits & ~shiftrightunsigned(bits, 1)"))
-    w = w.withColumn("z", F.explode(F.arrays_zip(at("starts").alias("s"), at("ends").alias("e"))))
+    # Most words are one run, whose place is a bit count; only words of several runs are gone through bit by bit.
+    single = F.expr(f"transform(array(CASE WHEN starts < 0 THEN {WORD - 1} ELSE bit_count(starts - 1) END), s -> struct(s AS s, s + bit_count(bits) - 1 AS e))")
+    several = F.arrays_zip(at("starts").alias("s"), at("ends").alias("e"))
+    w = w.withColumn("z", F.explode(F.when(F.expr("bit_count(starts) = 1"), single).otherwise(several)))
     unit = F.expr(f"shiftleft(1L, {BITS} * level)")
     return w.select("entity", ((F.col("word") * WORD + F.col("z.s")) * unit).alias("first"), ((F.col("word") * WORD + F.col("z.e") + 1) * unit - 1).alias("last"))
 
@@ -60,7 +69,7 @@ def periods_and_gaps(spans: DataFrame) -> DataFrame:
     holds is an entity's distinct runs, bounded by the time line and not by its rows. Null entities or
     ends and reversed spans count for nothing; empty input gives no rows.
     """
-    ok = spans.where(f"entity IS NOT NULL AND first IS NOT NULL AND last IS NOT NULL AND first <= last AND first >= 0 AND last < {WORD ** LEVELS}").select("entity", "first", "last").distinct()
+    ok = spans.where(f"entity IS NOT NULL AND first IS NOT NULL AND last IS NOT NULL AND first <= last AND first >= 0 AND last < {WORD ** LEVELS}").select("entity", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).distinct()
     runs = set_runs(run_bitmap(ok))
     order = W.partitionBy("entity").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
