@@ -10,6 +10,32 @@ from pyspark.sql import Window as W
 CHUNK = 4096
 
 
+def previous_of(df: DataFrame, group: str, place: str, tie: str, columns: list[str], chunk: int = CHUNK) -> DataFrame:
+    """`df` with __prev, a struct of the columns of the row before in order of (place, tie) within `group`; null for the first.
+
+    Within chunks by a window; a chunk's first row gets the last row of the chunk before, one row a chunk.
+    """
+    df = df.withColumn("__c", F.floor(F.col(place) / F.lit(chunk)))
+    w = W.partitionBy(group, "__c").orderBy(place, tie)
+    inner = df.withColumn("__lag", F.lag(F.struct(*columns)).over(w))
+    last = df.groupBy(group, "__c").agg(F.max_by(F.struct(*columns), F.struct(place, tie)).alias("__last"))
+    last = last.select(F.col(group).alias("__g"), F.col("__c").alias("__c2"), F.lag("__last").over(W.partitionBy(group).orderBy("__c")).alias("__before"))
+    j = inner.join(last, inner[group].eqNullSafe(last["__g"]) & inner["__c"].eqNullSafe(last["__c2"]))
+    return j.withColumn("__prev", F.coalesce("__lag", "__before")).drop("__c", "__c2", "__g", "__lag", "__before")
+
+
+def running_count(df: DataFrame, group: str, place: str, tie: str, flag: str, out: str, chunk: int = CHUNK) -> DataFrame:
+    """`df` with `out`, how many rows up to each have `flag` (boolean) set, in order of (place, tie) within `group`; by chunks."""
+    df = df.withColumn("__c", F.floor(F.col(place) / F.lit(chunk))).withColumn("__f", F.coalesce(F.col(flag), F.lit(False)).cast("long"))
+    w = W.partitionBy(group, "__c").orderBy(place, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = df.withColumn("__in", F.sum("__f").over(w))
+    n = df.groupBy(group, "__c").agg(F.sum("__f").alias("__n"))
+    order = W.partitionBy(group).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
+    n = n.select(F.col(group).alias("__g"), F.col("__c").alias("__c2"), F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__base"))
+    j = inner.join(n, inner[group].eqNullSafe(n["__g"]) & inner["__c"].eqNullSafe(n["__c2"]))
+    return j.withColumn(out, F.col("__base") + F.col("__in")).drop("__c", "__c2", "__g", "__f", "__in", "__base")
+
+
 def number_runs(df: DataFrame, group: str, place: str, tie: str, key: str, out: str = "run_no", chunk: int = CHUNK) -> DataFrame:
     """`df` with `out`: the number, from 1, of the run of equal `key` each row is in, in order of (place, tie) within `group`.
 

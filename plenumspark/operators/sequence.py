@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 
-from plenumspark.operators.runs import number_runs
+from plenumspark.operators.runs import number_runs, previous_of, running_count
 
 
 def order() -> WindowSpec:
@@ -21,10 +21,6 @@ def order() -> WindowSpec:
     return W.partitionBy("protocol_name").orderBy("u_idx", "u_id")
 
 
-def running() -> WindowSpec:
-    return order().rowsBetween(W.unboundedPreceding, W.currentRow)
-
-
 def _blank(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) == ""
 
@@ -44,12 +40,12 @@ def _chain(unknowns_go_on: bool) -> Callable[[DataFrame], DataFrame]:
     def go(df: DataFrame) -> DataFrame:
         start = _blank("prev_id")
         if unknowns_go_on:
-            df = df.withColumn("__w", F.lag("who").over(order())).withColumn("__n", F.lag("speaker_note_id").over(order()))
-            goes_on = _blank("next_id") & (F.col("who") == "unknown") & (F.col("__w") == "unknown") & F.col("__n").eqNullSafe(F.col("speaker_note_id"))
+            df = previous_of(df, "protocol_name", "u_idx", "u_id", ["who", "speaker_note_id"])
+            goes_on = _blank("next_id") & (F.col("who") == "unknown") & (F.col("__prev.who") == "unknown") & F.col("__prev.speaker_note_id").eqNullSafe(F.col("speaker_note_id"))
             start = start & ~F.coalesce(goes_on, F.lit(False))
-        out = df.withColumn("__start", start.cast("long")).withColumn("__chain", F.sum("__start").over(running()))
+        out = running_count(df.withColumn("__start", start), "protocol_name", "u_idx", "u_id", "__start", "group_no")
         # What comes before the first start belongs to no speech.
-        return out.where("__chain > 0").withColumn("group_no", F.col("__chain")).drop("__start", "__chain", "__w", "__n")
+        return out.where("group_no > 0").drop("__start", "__prev")
 
     return go
 
@@ -92,6 +88,8 @@ def grouped(utterances: DataFrame, name: str = "chain") -> DataFrame:
 def speech_numbers(utterances: DataFrame, name: str = "chain") -> DataFrame:
     """`grouped` with speech_index, the place of the speech in its protocol from 1, without gaps."""
     g = grouped(utterances, name)
+    if name not in _CUSTOM:
+        return g.withColumnRenamed("group_no", "speech_index")  # numbered from 1 without gaps as it is
     return g.withColumn("speech_index", F.dense_rank().over(W.partitionBy("protocol_name").orderBy("group_no")))
 
 
@@ -116,7 +114,7 @@ def speeches(utterances: DataFrame, name: str = "chain", skip_size: int = 1, tex
 
 def orphans_of_chain(utterances: DataFrame) -> DataFrame:
     """(protocol_name, n_orphans): utterances before the first start of a chain, which no speech holds."""
-    c = utterances.withColumn("__chain", F.sum(_blank("prev_id").cast("long")).over(running()))
+    c = running_count(utterances.withColumn("__start", _blank("prev_id")), "protocol_name", "u_idx", "u_id", "__start", "__chain")
     return c.where("__chain = 0").groupBy("protocol_name").agg(F.count("*").alias("n_orphans"))
 
 
@@ -146,5 +144,5 @@ def checked(utterances: DataFrame, name: str = "chain") -> DataFrame:
 
 def broken_links(utterances: DataFrame) -> DataFrame:
     """(protocol_name, u_id, prev_id, expected): utterances whose prev_id isn't the u_id before them."""
-    u = utterances.withColumn("expected", F.lag("u_id").over(order()))
+    u = previous_of(utterances, "protocol_name", "u_idx", "u_id", ["u_id"]).withColumn("expected", F.col("__prev.u_id"))
     return u.where(~_blank("prev_id") & ~F.col("prev_id").eqNullSafe(F.col("expected"))).select("protocol_name", "u_id", "prev_id", "expected")

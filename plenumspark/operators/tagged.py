@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from plenumspark.functions.pos import UNKNOWN, pos_group, pos_id, scheme
 from plenumspark.functions.stopwords import STOPWORDS
+from plenumspark.operators.numbering import number_rows
 
 #: Tags of punctuation in the default scheme (fixed values).
 PUNCTUATION = ("MID", "MAD", "PAD")
@@ -58,22 +58,6 @@ def filtered(tokens: DataFrame, *, lowercase: bool = False, skip_text: bool = Fa
     return out.drop(*["token"] * skip_text, *["lemma"] * skip_lemma)
 
 
-def dense_ids(firsts: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    """`firsts` with `out`, numbers from 0 in order, without one task holding all rows.
-
-    Rows are range-partitioned by the order; each partition numbers its own, after the sizes of those
-    before it, which are one row a partition.
-    """
-    ranged = firsts.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    from plenumspark.session import checkpointed
-
-    ranged = checkpointed(ranged)
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    local = ranged.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
-    return local.join(before, "__p").withColumn(out, F.col("__before") + F.col("__i") - 1).drop("__p", "__i", "__before")
-
-
 def vocabulary(tokens: DataFrame, document: str = "document_id") -> DataFrame:
     """(token, token_id): the distinct strings of token and lemma, numbered from 0 in order of first appearance.
 
@@ -85,7 +69,7 @@ def vocabulary(tokens: DataFrame, document: str = "document_id") -> DataFrame:
     ]
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     firsts = both.where("token IS NOT NULL").groupBy("token").agg(F.min("at").alias("at")).select("token", "at")
-    return dense_ids(firsts, ["at"], "token_id").select("token", "token_id")
+    return number_rows(firsts, ["at"], "token_id").select("token", "token_id")
 
 
 def id_frame(tokens: DataFrame, token2id: DataFrame, pos_scheme: str = "SUC") -> DataFrame:

@@ -1,7 +1,7 @@
 """The metadata warehouse: raw tables to code tables, persons, terms of office and party history.
 
-Each builder is a function of DataFrames; `build` runs them in order. Surrogate keys come from row numbers
-over a total order; the tables they number are code tables of a few thousand rows.
+Each builder is a function of DataFrames; `build` runs them in order. Surrogate keys follow a total order:
+by a window for code tables of a few thousand rows, by range partitions for persons, terms and histories.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plenumspark.functions.dates import partial_date, partial_flag
+from plenumspark.operators.numbering import number_rows
 
 # Code tables, and the colours of parties by abbreviation.
 FIRST_YEAR, LAST_YEAR = 1867, 2030
@@ -149,13 +150,13 @@ def persons_of_interest(used: DataFrame, person: DataFrame, names: DataFrame, wi
 def with_pid(persons: DataFrame) -> DataFrame:
     """Persons numbered from 0 with `unknown` first."""
     p = persons.withColumn("__u", F.col("person_id") != "unknown")
-    return numbered(p, "pid", "__u", "person_id", offset=-1).drop("__u")
+    return number_rows(p, ["__u", "person_id"], "pid").drop("__u")
 
 
 def person_locations(persons: DataFrame, specifiers: DataFrame, locations: DataFrame) -> DataFrame:
     """(person_location_id, person_id, location_id)."""
     j = persons.select("person_id").join(specifiers, "person_id").join(locations.withColumnRenamed("location_name", "location"), "location").select("person_id", "location_id")
-    return numbered(j, "person_location_id", "person_id", "location_id").select("person_location_id", "person_id", "location_id")
+    return number_rows(j, ["person_id", "location_id"], "person_location_id", 1).select("person_location_id", "person_id", "location_id")
 
 
 def terms_of_office(persons: DataFrame, members: DataFrame, ministers: DataFrame, speakers: DataFrame, districts: DataFrame, government: DataFrame, sub_types: DataFrame) -> DataFrame:
@@ -179,12 +180,12 @@ def terms_of_office(persons: DataFrame, members: DataFrame, ministers: DataFrame
     g = kind(ministers.join(government.select("government", "government_id"), "government"), 2, none, F.col("government_id"))
     s = kind(speakers, 3, none, none)
     out = m.unionByName(g).unionByName(s).distinct()
-    return numbered(out, "terms_of_office_id", *out.columns).select("terms_of_office_id", *out.columns)
+    return number_rows(out, out.columns, "terms_of_office_id", 1).select(F.col("terms_of_office_id").cast("int").alias("terms_of_office_id"), *out.columns)
 
 
 def minister_governments(terms: DataFrame) -> DataFrame:
     m = terms.where("office_type_id = 2").select("terms_of_office_id", "government_id")
-    return numbered(m, "minister_government_id", "government_id", "terms_of_office_id").select("minister_government_id", "terms_of_office_id", "government_id")
+    return number_rows(m, ["government_id", "terms_of_office_id"], "minister_government_id", 1).select("minister_government_id", "terms_of_office_id", "government_id")
 
 
 def parties(raw: DataFrame) -> DataFrame:
@@ -204,7 +205,7 @@ def person_parties(persons: DataFrame, affiliations: DataFrame, known: DataFrame
         .join(known.select("swerik_party", "party").distinct(), "swerik_party").join(party.select("party", "party_id"), "party")
         .select("person_id", F.lit(2).alias("source_id"), "party_id", F.col("start").alias("start_date"), "start_flag", F.col("end").alias("end_date"), "end_flag", year("start").alias("start_year"), year("end").alias("end_year"))
     )
-    rows = numbered(a, "person_party_id", *a.columns).select("person_party_id", *a.columns)
+    rows = number_rows(a, a.columns, "person_party_id", 1).select(F.col("person_party_id").cast("int").alias("person_party_id"), *a.columns)
     zero = rows.sparkSession.createDataFrame([(0, "unknown", 1, 0, "X", "X")], "person_party_id int, person_id string, source_id int, party_id int, start_flag string, end_flag string")
     rows = rows.unionByName(zero, allowMissingColumns=True)
     several = rows.groupBy("person_id").agg((F.count_distinct("party_id") > 1).alias("has_multiple_parties"))

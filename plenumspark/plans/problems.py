@@ -140,4 +140,25 @@ SQL = {
     "p3_report": _P3 + "SELECT child_table, period, reason, count(*) AS n_orphans FROM found GROUP BY ALL",
     "p5_found": _islands("terms_of_office", "(t.start_date - DATE '0001-01-01')", "(coalesce(t.end_date, DATE '9999-12-31') - DATE '0001-01-01')", "1", "strftime(DATE '0001-01-01' + CAST({0} AS INTEGER), '%Y-%m-%d')")
     + " UNION ALL " + _islands("person_party", "t.start_year", "coalesce(t.end_year, 9999)", "1", "CAST({0} AS VARCHAR)"),
+    "p6_found": """
+WITH r AS (SELECT DISTINCT series_no, file_no, file_id, record_key, payload FROM metadata_records),
+f AS (SELECT file_id, lag(file_id) OVER (PARTITION BY series_no ORDER BY file_no, file_id) AS prev_id FROM (SELECT DISTINCT series_no, file_no, file_id FROM r)),
+k AS (SELECT file_id, record_key, payload, unnest(json_keys(payload)) AS field FROM r),
+v AS (SELECT file_id, record_key, field, json_type(payload, '$."' || field || '"') AS t, json_extract_string(payload, '$."' || field || '"') AS x FROM k),
+h AS (SELECT file_id, field, bit_or(CASE t WHEN 'NULL' THEN 0 WHEN 'UBIGINT' THEN 1 WHEN 'BIGINT' THEN 1 WHEN 'DOUBLE' THEN 2 WHEN 'BOOLEAN' THEN 4 WHEN 'VARCHAR' THEN 8 WHEN 'ARRAY' THEN 16 ELSE 32 END) AS bits FROM v GROUP BY 1, 2),
+p AS (SELECT file_id, field, CASE WHEN bits = 0 THEN NULL WHEN bits IN (1, 2, 4, 8, 16, 32) THEN bits WHEN bits = 3 THEN 2 ELSE 8 END AS t FROM h),
+gone AS (SELECT f.file_id, f.prev_id, b.field FROM f JOIN p b ON b.file_id = f.prev_id WHERE NOT EXISTS (SELECT 1 FROM p a WHERE a.file_id = f.file_id AND a.field = b.field)),
+come AS (SELECT f.file_id, f.prev_id, a.field FROM f JOIN p a ON a.file_id = f.file_id WHERE f.prev_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p b WHERE b.file_id = f.prev_id AND b.field = a.field)),
+m AS (SELECT g.file_id, g.field AS old, c.field AS new, count(*) AS n, count(*) FILTER (WHERE o.x = w.x) AS same
+  FROM gone g JOIN come c ON c.file_id = g.file_id JOIN r rb ON rb.file_id = g.prev_id JOIN r ra ON ra.file_id = g.file_id AND ra.record_key = rb.record_key
+  LEFT JOIN v o ON o.file_id = g.prev_id AND o.record_key = rb.record_key AND o.field = g.field AND o.t <> 'NULL'
+  LEFT JOIN v w ON w.file_id = g.file_id AND w.record_key = ra.record_key AND w.field = c.field AND w.t <> 'NULL'
+  WHERE o.x IS NOT NULL OR w.x IS NOT NULL GROUP BY 1, 2, 3),
+b AS (SELECT *, row_number() OVER (PARTITION BY file_id, old ORDER BY same / n DESC, n DESC, new) AS i, row_number() OVER (PARTITION BY file_id, new ORDER BY same / n DESC, n DESC, old) AS j FROM m WHERE same >= 0.8 * n),
+ren AS (SELECT file_id, old, new FROM b WHERE i = 1 AND j = 1)
+SELECT file_id, 'renamed' AS change_kind, old AS field_name, new AS new_name FROM ren
+UNION ALL SELECT file_id, 'removed', field, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.file_id = g.file_id AND ren.old = g.field)
+UNION ALL SELECT file_id, 'added', field, '' FROM come c WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.file_id = c.file_id AND ren.new = c.field)
+UNION ALL SELECT f.file_id, 'retyped', a.field, '' FROM f JOIN p a ON a.file_id = f.file_id JOIN p b ON b.file_id = f.prev_id AND b.field = a.field WHERE a.t <> b.t
+""",
 }

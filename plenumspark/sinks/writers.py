@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from plenumspark.functions.text import slugify
+from plenumspark.operators.numbering import number_rows
 
 COMPRESSION = {"csv": "none", "gzip": "gzip", "bz2": "bzip2", "zstd": "zstd", "none": "none"}
 
@@ -29,7 +29,7 @@ def compression(name: str) -> str:
 def document_index(items: DataFrame, order: list[str], extra: list[str] | None = None) -> DataFrame:
     """The items' index: document_id from 0 in the given order, without their texts."""
     keep = [c for c in items.columns if c not in ("data", "text", "period_", "protocol_name_")]
-    return items.select(*(extra or keep)).withColumn("document_id", F.row_number().over(W.orderBy(*order)) - 1)
+    return number_rows(items.select(*(extra or keep)), order, "document_id")
 
 
 def item_filename(temporal: Column, labels: list[Column], extension: str = "txt") -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from plenumspark.functions.dates import in_years, year_of_date
 from plenumspark.functions.text import base_name, chamber_of
+from plenumspark.operators.numbering import number_rows
 from plenumspark.operators.segment import attribute_notes, page_numbers, page_references
 
 ELEMENTS = T.StructType(
@@ -115,11 +116,9 @@ def utterances(elements: DataFrame) -> DataFrame:
 
 def protocols(elements: DataFrame) -> DataFrame:
     """(document_id, document_name, date, year, chamber_abbrev, protocol_name), numbered in order of names."""
-    from pyspark.sql import Window as W
-
     p = elements.groupBy("protocol_name").agg(F.first("date", ignorenulls=True).alias("date"), F.first("preface_name", ignorenulls=True).alias("preface_name"))
-    return p.select(
-        (F.row_number().over(W.orderBy("protocol_name")) - 1).alias("document_id"), F.col("protocol_name").alias("document_name"), "date",
+    return number_rows(p, ["protocol_name"], "document_id").select(
+        "document_id", F.col("protocol_name").alias("document_name"), "date",
         year_of_date("date").alias("year"), chamber_of("protocol_name").alias("chamber_abbrev"), F.coalesce("preface_name", "protocol_name").alias("protocol_name"),
     )
 
