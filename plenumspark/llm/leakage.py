@@ -28,8 +28,8 @@ INTACT, MISS = WINDOW - SHINGLE + 1 - SHINGLE, 1e-6
 CHUNK = WINDOW
 #: Size classes of blocks (most shingles): small blocks need fewer hash functions for the same recall.
 CLASSES = (WINDOW, 2 * CHUNK)
-#: Items searched for at once; more are searched for in several passes.
-ITEMS_A_PASS = 5000
+#: Items, and characters of items, searched for at once; more are searched for in several passes.
+ITEMS_A_PASS, CHARACTERS_A_PASS = 5000, 10_000_000
 
 _BROKEN = re.compile(r"[-‐‑­¬]\s*")
 _WORD = re.compile(r"[^\W_]+")
@@ -283,7 +283,7 @@ def leaks(documents: DataFrame, items: DataFrame, items_a_pass: int = ITEMS_A_PA
     """(doc_id, item_id): documents that hold at least ten words of an item on end, in order.
 
     Items are the short side of the containment search: the MinHash values of their windows are sent to
-    every task, at most `items_a_pass` items at a time; more items take more passes over the documents,
+    every task, at most about `items_a_pass` items and CHARACTERS_A_PASS characters at a time; more items take more passes over the documents,
     so no item is dropped and the broadcast stays bounded. Blocks of documents are put into size classes,
     each with as many hash functions as its recall needs. What shares a value is verified by exact shingle
     containment and an alignment. No shuffle but the final distinct.
@@ -293,7 +293,8 @@ def leaks(documents: DataFrame, items: DataFrame, items_a_pass: int = ITEMS_A_PA
     spark = documents.sparkSession
     docs = spread(documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"))
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
-    passes = max(1, math.ceil(rows.count() / items_a_pass))
+    n, characters = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    passes = max(1, math.ceil(n / items_a_pass), math.ceil(characters / CHARACTERS_A_PASS))
     parts = []
     for k in range(passes):
         block = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
