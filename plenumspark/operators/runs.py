@@ -18,7 +18,7 @@ def previous_of(df: DataFrame, group: str, place: str, tie: str, columns: list[s
     df = df.withColumn("__c", F.floor(F.col(place) / F.lit(chunk)))
     w = W.partitionBy(group, "__c").orderBy(place, tie)
     inner = df.withColumn("__lag", F.lag(F.struct(*columns)).over(w))
-    last = df.groupBy(group, "__c").agg(F.max_by(F.struct(*columns), F.struct(place, tie)).alias("__last"))
+    last = inner.groupBy(group, "__c").agg(F.max_by(F.struct(*columns), F.struct(place, tie)).alias("__last"))
     last = last.select(F.col(group).alias("__g"), F.col("__c").alias("__c2"), F.lag("__last").over(W.partitionBy(group).orderBy("__c")).alias("__before"))
     j = inner.join(last, inner[group].eqNullSafe(last["__g"]) & inner["__c"].eqNullSafe(last["__c2"]))
     return j.withColumn("__prev", F.coalesce("__lag", "__before")).drop("__c", "__c2", "__g", "__lag", "__before")
@@ -29,7 +29,7 @@ def running_count(df: DataFrame, group: str, place: str, tie: str, flag: str, ou
     df = df.withColumn("__c", F.floor(F.col(place) / F.lit(chunk))).withColumn("__f", F.coalesce(F.col(flag), F.lit(False)).cast("long"))
     w = W.partitionBy(group, "__c").orderBy(place, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
     inner = df.withColumn("__in", F.sum("__f").over(w))
-    n = df.groupBy(group, "__c").agg(F.sum("__f").alias("__n"))
+    n = inner.groupBy(group, "__c").agg(F.sum("__f").alias("__n"))
     order = W.partitionBy(group).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
     n = n.select(F.col(group).alias("__g"), F.col("__c").alias("__c2"), F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__base"))
     j = inner.join(n, inner[group].eqNullSafe(n["__g"]) & inner["__c"].eqNullSafe(n["__c2"]))
@@ -48,10 +48,10 @@ def number_runs(df: DataFrame, group: str, place: str, tie: str, key: str, out:
     inner = df.withColumn("__first", F.row_number().over(w) == 1).withColumn("__new", (~F.col("__first") & ~F.lag(key).over(w).eqNullSafe(F.col(key))).cast("long"))
     inner = inner.withColumn("__in", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     at = F.struct(place, tie)
-    chunks = df.groupBy(group, "__c").agg(F.min_by(F.struct(F.col(key).alias("k")), at).alias("a"), F.max_by(F.struct(F.col(key).alias("k")), at).alias("b"))
-    new = inner.groupBy(group, "__c").agg(F.sum("__new").alias("__n"))
+    # The summaries come from the rows as partitioned for the windows, so they cost no shuffle of their own.
+    chunks = inner.groupBy(group, "__c").agg(F.min_by(F.struct(F.col(key).alias("k")), at).alias("a"), F.max_by(F.struct(F.col(key).alias("k")), at).alias("b"), F.sum("__new").alias("__n"))
     order = W.partitionBy(group).orderBy("__c")
-    s = chunks.join(new, [group, "__c"]).withColumn("__prev", F.lag("b").over(order))
+    s = chunks.withColumn("__prev", F.lag("b").over(order))
     s = s.withColumn("__start", F.when(F.col("__prev").isNotNull() & F.col("__prev.k").eqNullSafe(F.col("a.k")), 0).otherwise(1))
     s = s.withColumn("__base", F.sum(F.col("__start") + F.col("__n")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n"))
     s = s.select(F.col(group).alias("__g"), F.col("__c").alias("__c2"), "__base")
