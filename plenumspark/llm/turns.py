@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from plenumspark.llm.transcript import has_speech, parse_label, speech
 from plenumspark.operators.persons import resolve
 from plenumspark.operators.runs import number_runs
+from plenumspark.session import checkpointed
 
 NO_NOTE = "missing"
 
@@ -53,17 +54,16 @@ def _settled(rows: DataFrame, notes: DataFrame) -> DataFrame:
     return best.where("b.named = b.other").select("protocol_name", "speaker_note_id", "b.named")
 
 
-def speaker_segments(segments: DataFrame, notes: DataFrame, person: DataFrame, with_text: bool = False) -> DataFrame:
+def speaker_segments(segments: DataFrame, notes: DataFrame, person: DataFrame) -> DataFrame:
     """The segments with speech left, each with its settled speaker (null: unknown) and turn_no.
 
-    Returns protocol_name, place, u_id, speaker, speaker_note_id, turn_no (and text).
+    Returns protocol_name, place, u_id, speaker, speaker_note_id, turn_no.
     """
     place = F.regexp_extract("name", r"(\d+)$", 1).try_cast("long")
-    keep = ["protocol_name", "place", "u_id", "who", "speaker_note_id"] + ["text"] * with_text
     rows = segments.where(F.col("protocol_name").isNotNull()).where(spoken("data")).withColumn("place", F.coalesce(place, F.lit(0)))
-    if with_text:
-        rows = rows.withColumn("text", clean("data"))
-    rows = resolve(rows.select(*keep).distinct(), "who", person, "speaker").drop("who")
+    rows = rows.select("protocol_name", "place", "u_id", "who", "speaker_note_id").distinct()
+    # The settled labels and the turns both come from these rows; the texts are parsed once.
+    rows = checkpointed(resolve(rows, "who", person, "speaker").drop("who"))
     found = _settled(rows, notes)
     rows = rows.join(found, ["protocol_name", "speaker_note_id"], "left").withColumn("speaker", F.coalesce("speaker", "named")).drop("named")
     key = F.coalesce(F.concat(F.lit("p"), F.col("speaker")), F.concat(F.lit("n"), F.coalesce("speaker_note_id", F.lit(""))))
@@ -77,11 +77,15 @@ def speaker_turns(segments: DataFrame, notes: DataFrame, person: DataFrame, with
     person in `who`, else the known speaker of the protocol its note names, else `unknown`; unknown
     segments form a run while speaker_note_id stays the same. Order is the number that ends `name`
     (0 if there is none), ties by u_id. Repeated rows count once; segments without protocol are left out.
+    Texts join the numbered segments at the end, so they are shuffled for that and the turn alone; a
+    segment without u_id has a turn but no text.
     """
-    rows = speaker_segments(segments, notes, person, with_text)
+    rows = speaker_segments(segments, notes, person)
     at = F.struct("place", "u_id")
     aggs = [F.min_by("u_id", at).alias("first_u_id"), F.max_by("u_id", at).alias("last_u_id"), F.coalesce(F.first("speaker"), F.lit("unknown")).alias("speaker_id")]
     if with_text:
-        ordered = F.sort_array(F.collect_list(F.struct("place", "u_id", "text")))
+        texts = segments.select("u_id", "data").where("u_id IS NOT NULL").dropDuplicates(["u_id"]).select("u_id", clean("data").alias("text"))
+        rows = rows.join(texts, "u_id", "left")
+        ordered = F.sort_array(F.collect_list(F.struct("place", "u_id", F.coalesce("text", F.lit("")).alias("text"))))
         aggs.append(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
     return rows.groupBy("protocol_name", F.col("turn_no").cast("int").alias("turn_no")).agg(*aggs)
