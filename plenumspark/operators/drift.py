@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plenumspark.session import checkpointed
+
 #: JSON types as bits of a set. The lattice's join: whole and fractional give fractional, any other mixture gives string.
 TYPES = {"whole": 1, "fractional": 2, "boolean": 4, "string": 8, "array": 16, "object": 32}
 SPARK_TYPE = {"whole": "bigint", "fractional": "double", "boolean": "boolean"}
@@ -61,7 +63,7 @@ def schema_changes(records: DataFrame, share: float = 0.8) -> DataFrame:
     """
     records = records.select("series_no", "file_no", "file_id", "table_name", "record_key", "payload").distinct()
     files = _files(records).where("prev_id IS NOT NULL")
-    h = headers(records).select("file_id", "field", "bits")
+    h = checkpointed(headers(records)).select("file_id", "field", "bits")  # files by fields: small, and used twice
     now = files.join(h, "file_id").select("file_id", "field", F.col("bits").alias("now"))
     before = files.join(h.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "field", F.col("bits").alias("before"))
     both = now.join(before, ["file_id", "field"], "full")
