@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plenumspark.session import checkpointed
+from plenumspark.session import bounded_broadcast, checkpointed
 
 #: JSON types as bits of a set. The lattice's join: whole and fractional give fractional, any other mixture gives string.
 TYPES = {"whole": 1, "fractional": 2, "boolean": 4, "string": 8, "array": 16, "object": 32}
@@ -61,22 +61,24 @@ def schema_changes(records: DataFrame, share: float = 0.8) -> DataFrame:
     Repeated rows count once. Null payloads are records without fields. Values of candidate pairs alone
     are compared, and only in files that have both a gone and a new field.
     """
-    records = records.select("series_no", "file_no", "file_id", "table_name", "record_key", "payload").distinct()
     files = _files(records).where("prev_id IS NOT NULL")
     h = checkpointed(headers(records)).select("file_id", "field", "bits")  # files by fields: small, and used twice
-    now = files.join(h, "file_id").select("file_id", "field", F.col("bits").alias("now"))
+    now = files.join(h, "file_id").select("file_id", "prev_id", "field", F.col("bits").alias("now"))
     before = files.join(h.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "field", F.col("bits").alias("before"))
-    both = now.join(before, ["file_id", "field"], "full")
+    both = now.drop("prev_id").join(before, ["file_id", "field"], "full")
     gone = both.where("now IS NULL").select("file_id", F.col("field").alias("old"))
     come = both.where("before IS NULL").select("file_id", F.col("field").alias("new"))
-    pairs = gone.join(come, "file_id").groupBy("file_id").agg(F.collect_set(F.struct("old", "new")).alias("pairs"))
-    values = lambda c: F.from_json(c, "map<string,string>")
-    current = records.join(files, ["series_no", "file_id"]).join(pairs, "file_id").select("file_id", "prev_id", "record_key", F.col("payload").alias("p_now"), "pairs")
-    previous = records.select(F.col("file_id").alias("prev_id"), "record_key", F.col("payload").alias("p_before"))
+    pairs = gone.join(come, "file_id").groupBy("file_id").agg(F.sort_array(F.collect_set(F.struct("old", "new"))).alias("pairs")).join(files.select("file_id", "prev_id"), "file_id")
+    pairs = bounded_broadcast(pairs, 20_000)
+    # Of the files with pairs, a record's values of the pairs' fields alone are shuffled, as arrays in the pairs' order.
+    value = F.from_json("payload", "map<string,string>")
+    of = lambda side: F.transform("pairs", lambda p: F.element_at("m", p[side])).alias(side)
+    current = records.select("file_id", "record_key", value.alias("m")).join(pairs, "file_id").select("file_id", "record_key", "pairs", of("new")).distinct()
+    previous = records.select(F.col("file_id").alias("prev_id"), "record_key", value.alias("m")).join(pairs, "prev_id").select("file_id", "record_key", of("old")).distinct()
     matched = (
-        current.join(previous, ["prev_id", "record_key"])
-        .select("file_id", F.explode("pairs").alias("pair"), values("p_before").alias("b"), values("p_now").alias("n"))
-        .select("file_id", "pair.old", "pair.new", F.expr("b[pair.old]").alias("x"), F.expr("n[pair.new]").alias("y"))
+        current.join(previous, ["file_id", "record_key"])
+        .select("file_id", F.explode(F.arrays_zip("pairs", "old", "new")).alias("z"))
+        .select("file_id", "z.pairs.old", "z.pairs.new", F.col("z.old").alias("x"), F.col("z.new").alias("y"))
         .where("x IS NOT NULL OR y IS NOT NULL")
         .groupBy("file_id", "old", "new").agg(F.count("*").alias("n"), F.sum((F.col("x") == F.col("y")).cast("int")).alias("same"))
         .where(F.coalesce("same", F.lit(0)) >= F.col("n") * F.lit(share))
