@@ -52,7 +52,7 @@ _MARKS = r"\[[^\]\n]{0,40}\]|\{[^}\n]{0,40}\}|<[^>\n]{0,40}>|\(\([^)\n]{0,40}\)\
 _TRAILING = re.compile(rf"(?:\s+(?:{_MARKS}))+\s*\Z", re.I)
 _LEADING = re.compile(rf"\s*(?:(?:{_MARKS})\s*)*", re.I)
 _BREAK_END = re.compile(rf"[^\W_]([{HYPHENS}])\s*\Z")
-_SUSPENDED = re.compile(r"(?:och|eller|samt|respektive|resp\.|oeh|oc[hb]|el1er|e1ler)(?!\w)", re.I)
+_SUSPENDED = re.compile(r"(?:[o0][ce][hb]|e[l1]{2}er|sa(?:m|rn)t|respektive|resp\.)(?!\w)", re.I)
 _WEEKDAY_START = re.compile(r"[MTOFLS]", re.I)
 _TIME = re.compile(r"\d+h\d+m\d+s\Z")
 _YEAR = re.compile(r"(?=.*\d)(?=.*[^\d])[1lIi2Z][\dlIioOSsgqBZ]{3}\Z")
