@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Tag:group in the order of the tags' numbers. Groups by their first three letters.
-GROUPS = {
-    "pro": "Pronoun", "nou": "Noun", "ver": "Verb", "adv": "Adverb", "num": "Numeral",
-    "adj": "Adjective", "pre": "Preposition", "con": "Conjunction", "del": "Delimiter", "oth": "Other",
-}
+# Tag:group in the order of the tags' numbers.
 _SCHEMES = {
-    "SUC": """AB:adv DT:pro HA:adv HD:pro HP:pro HS:pro IE:adv IN:adv JJ:adj KN:con NN:nou PC:ver PL:adv PM:nou PN:pro PP:pre
-        PS:pro RG:num RO:num SN:con UO:oth VB:ver MAD:del MID:del PAD:del""",
-    "Universal": """ADJ:adj ADP:pre ADV:adv AUX:oth CONJ:con CCONJ:con DET:pro INTJ:adv NOUN:nou NUM:num PART:adv PRON:pro PROPN:nou
-        PUNCT:del SCONJ:con SYM:oth VERB:ver X:oth EOL:del SPACE:del""",
-    "PennTree": """$:oth ``:del '':del ,:del -LRB-:del -RRB-:del .:del ::del ADD:oth AFX:adj CC:con CD:num DT:pro EX:pro FW:oth GW:oth
-        HYPH:del IN:pre JJ:adj JJR:adj JJS:adj LS:oth MD:ver NFP:del NIL:oth NN:nou NNP:nou NNPS:nou NNS:nou PDT:pro POS:adv
-        PRP:pro PRP$:pro RB:adv RBR:adv RBS:adv RP:adv SP:del SYM:oth TO:adv UH:adv VB:ver VBD:ver VBG:ver VBN:ver VBP:ver
-        VBZ:ver WDT:pro WP:pro WP$:pro WRB:adv XX:oth _SP:del""",
+    "SUC": """
+        AB:Adverb DT:Pronoun HA:Adverb HD:Pronoun HP:Pronoun HS:Pronoun IE:Adverb IN:Adverb JJ:Adjective KN:Conjunction
+        NN:Noun PC:Verb PL:Adverb PM:Noun PN:Pronoun PP:Preposition PS:Pronoun RG:Numeral RO:Numeral SN:Conjunction UO:Other
+        VB:Verb MAD:Delimiter MID:Delimiter PAD:Delimiter""",
+    "Universal": """
+        ADJ:Adjective ADP:Preposition ADV:Adverb AUX:Other CONJ:Conjunction CCONJ:Conjunction DET:Pronoun INTJ:Adverb
+        NOUN:Noun NUM:Numeral PART:Adverb PRON:Pronoun PROPN:Noun PUNCT:Delimiter SCONJ:Conjunction SYM:Other VERB:Verb
+        X:Other EOL:Delimiter SPACE:Delimiter""",
+    "PennTree": """
+        $:Other ``:Delimiter '':Delimiter ,:Delimiter -LRB-:Delimiter -RRB-:Delimiter .:Delimiter ::Delimiter ADD:Other
+        AFX:Adjective CC:Conjunction CD:Numeral DT:Pronoun EX:Pronoun FW:Other GW:Other HYPH:Delimiter IN:Preposition
+        JJ:Adjective JJR:Adjective JJS:Adjective LS:Other MD:Verb NFP:Delimiter NIL:Other NN:Noun NNP:Noun NNPS:Noun NNS:Noun
+        PDT:Pronoun POS:Adverb PRP:Pronoun PRP$:Pronoun RB:Adverb RBR:Adverb RBS:Adverb RP:Adverb SP:Delimiter SYM:Other
+        TO:Adverb UH:Adverb VB:Verb VBD:Verb VBG:Verb VBN:Verb VBP:Verb VBZ:Verb WDT:Pronoun WP:Pronoun WP$:Pronoun WRB:Adverb
+        XX:Other _SP:Delimiter""",
 }
 #: scheme -> {tag: (number, group)}
 SCHEMES = {
-    name: {tag: (i, GROUPS[group]) for i, (tag, group) in enumerate(x.rsplit(":", 1) for x in text.split())} for name, text in _SCHEMES.items()
+    name: {tag: (i, group) for i, (tag, group) in enumerate(x.rsplit(":", 1) for x in text.split())} for name, text in _SCHEMES.items()
 }
 #: The number of a tag that the scheme doesn't have; 0 is a tag's.
 UNKNOWN = -1

@@ -10,18 +10,30 @@ from pyspark.sql import Window as W
 CHUNK = 4096
 
 
-def previous_of(df: DataFrame, group: str, place: str, tie: str, columns: list[str], chunk: int = CHUNK) -> DataFrame:
+def previous_of(df: DataFrame, group: str, place: str, tie: str, columns: list[str], chunk: int = CHUNK, following: bool = False) -> DataFrame:
     """`df` with __prev, a struct of the columns of the row before in order of (place, tie) within `group`; null for the first.
 
-    Within chunks by a window; a chunk's first row gets the last row of the chunk before, one row a chunk.
+    With `following` also __next, of the row after. Within chunks by a window; a chunk's first row gets the
+    last row of the chunk before (its last the first of the chunk after), one row a chunk.
     """
     df = df.withColumn("__c", F.floor(F.col(place) / F.lit(chunk)))
-    w = W.partitionBy(group, "__c").orderBy(place, tie)
-    inner = df.withColumn("__lag", F.lag(F.struct(*columns)).over(w))
-    last = inner.groupBy(group, "__c").agg(F.max_by(F.struct(*columns), F.struct(place, tie)).alias("__last"))
-    last = last.select(F.col(group).alias("__g"), F.col("__c").alias("__c2"), F.lag("__last").over(W.partitionBy(group).orderBy("__c")).alias("__before"))
-    j = inner.join(last, inner[group].eqNullSafe(last["__g"]) & inner["__c"].eqNullSafe(last["__c2"]))
-    return j.withColumn("__prev", F.coalesce("__lag", "__before")).drop("__c", "__c2", "__g", "__lag", "__before")
+    w, at, row = W.partitionBy(group, "__c").orderBy(place, tie), F.struct(place, tie), F.struct(*columns)
+    inner = df.withColumn("__lag", F.lag(row).over(w))
+    if following:
+        inner = inner.withColumn("__lead", F.lead(row).over(w))
+    ends = inner.groupBy(group, "__c").agg(F.max_by(row, at).alias("__last"), F.min_by(row, at).alias("__first"))
+    order = W.partitionBy(group).orderBy("__c")
+    ends = ends.select(F.col(group).alias("__g"), F.col("__c").alias("__c2"), F.lag("__last").over(order).alias("__before"), F.lead("__first").over(order).alias("__after"))
+    j = inner.join(ends, inner[group].eqNullSafe(ends["__g"]) & inner["__c"].eqNullSafe(ends["__c2"]))
+    j = j.withColumn("__prev", F.coalesce("__lag", "__before"))
+    if following:
+        j = j.withColumn("__next", F.coalesce("__lead", "__after"))
+    return j.drop("__c", "__c2", "__g", "__lag", "__lead", "__before", "__after")
+
+
+def place_in(df: DataFrame, group: str, place: str, tie: str, out: str, chunk: int = CHUNK) -> DataFrame:
+    """`df` with `out`, each row's number from 1 in order of (place, tie) within `group`; by chunks."""
+    return running_count(df.withColumn("__one", F.lit(True)), group, place, tie, "__one", out, chunk).drop("__one")
 
 
 def running_count(df: DataFrame, group: str, place: str, tie: str, flag: str, out: str, chunk: int = CHUNK) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 
 from plenumspark.functions.text import chamber_of, join_paragraphs, protocol_label
 from plenumspark.functions.tokenize import sentences
-from plenumspark.operators.sequence import order, speech_numbers, speeches
+from plenumspark.operators.runs import place_in, running_count
+from plenumspark.operators.sequence import speech_numbers, speeches
 
 COLUMNS = [
     "protocol_name", "chamber_abbrev", "segment_level", "name", "who", "id", "u_id", "data", "page_number", "year", "n_utterances",
@@ -59,7 +60,7 @@ def segments(utterances: DataFrame, level: str = "speech", strategy: str = "chai
         p = u.groupBy("protocol_name").agg(joined.alias("data"), F.min("year").alias("year"), F.count("*").alias("n_utterances"), F.min("page_number").alias("page_number"))
         out = _finish(p.withColumn("name", F.col("protocol_name")).withColumn("id", F.col("protocol_name")), level, year)
     else:
-        n = u.withColumn("__no", F.row_number().over(order())).withColumn("name", F.concat("protocol_name", F.lit("_"), _three(F.col("__no")))).withColumn("n_utterances", F.lit(1))
+        n = place_in(u, "protocol_name", "u_idx", "u_id", "__no").withColumn("name", F.concat("protocol_name", F.lit("_"), _three(F.col("__no")))).withColumn("n_utterances", F.lit(1))
         if level == "utterance":
             out = _finish(n.withColumn("id", F.col("u_id")).withColumn("data", F.col("__text")), level, year)
         else:
@@ -79,15 +80,16 @@ def utterance_speeches(utterances: DataFrame, strategy: str = "chain") -> DataFr
 
 def page_numbers(elements: DataFrame) -> DataFrame:
     """Body elements (protocol_name, pos, tag) with page_number: 1 and one more after each `pb`."""
-    w = W.partitionBy("protocol_name").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return elements.withColumn("page_number", (F.sum((F.col("tag") == "pb").cast("int")).over(w) + 1).cast("int"))
+    e = running_count(elements.withColumn("__pb", F.col("tag") == "pb"), "protocol_name", "pos", "tag", "__pb", "__pages")
+    return e.withColumn("page_number", (F.col("__pages") + 1).cast("int")).drop("__pb", "__pages")
 
 
 def attribute_notes(elements: DataFrame) -> DataFrame:
     """The utterances among body elements (protocol_name, pos, tag, u_id, who, prev_id, note_id) with speaker_note_id.
 
     A speaker note holds for the utterances after it until one of another speaker, or one that doesn't go
-    on from the one before it since the note; from there on, and before any note, it is `missing`.
+    on from the one before it since the note; from there on, and before any note, it is `missing`. A
+    protocol's elements are read from one file by one task, and no more of them meet in one here.
     """
     w = W.partitionBy("protocol_name").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     note = (F.col("tag") == "note") & F.col("note_id").isNotNull()

@@ -11,16 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.window import WindowSpec
 
 from plenumspark.operators.runs import number_runs, previous_of, running_count
 
 
-def order() -> WindowSpec:
-    """A protocol's utterances in order."""
-    return W.partitionBy("protocol_name").orderBy("u_idx", "u_id")
-
-
 def _blank(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) == ""
 

@@ -198,11 +198,11 @@ def parties(raw: DataFrame) -> DataFrame:
 
 
 def person_parties(persons: DataFrame, affiliations: DataFrame, known: DataFrame, party: DataFrame) -> DataFrame:
-    """The party history of persons; row 0 is `unknown`. known: swerik_party, party."""
+    """The party history of persons; row 0 is `unknown`. known: source_party, party."""
     year = lambda c: F.substring(F.col(c).cast("string"), 1, 4).try_cast("int")
     a = (
-        affiliations.withColumnRenamed("party", "swerik_party").join(persons.select("person_id").distinct(), "person_id")
-        .join(known.select("swerik_party", "party").distinct(), "swerik_party").join(party.select("party", "party_id"), "party")
+        affiliations.withColumnRenamed("party", "source_party").join(persons.select("person_id").distinct(), "person_id")
+        .join(known.select("source_party", "party").distinct(), "source_party").join(party.select("party", "party_id"), "party")
         .select("person_id", F.lit(2).alias("source_id"), "party_id", F.col("start").alias("start_date"), "start_flag", F.col("end").alias("end_date"), "end_flag", year("start").alias("start_year"), year("end").alias("end_year"))
     )
     rows = number_rows(a, a.columns, "person_party_id", 1).select(F.col("person_party_id").cast("int").alias("person_party_id"), *a.columns)
@@ -223,7 +223,7 @@ def build(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All tables of the warehouse from the raw ones.
 
     raw: utterances (person_id), person, name, wiki_id, member_of_parliament, minister, speaker, government,
-    location_specifier, swedeb_parties, party_affiliation.
+    location_specifier, known_parties, party_affiliation.
     """
     spark = raw["person"].sparkSession
     out = {"years": years(spark), "gender": genders(spark), "chamber": chambers(spark), "office_type": office_types(spark)}
@@ -236,8 +236,8 @@ def build(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     out["person_location"] = person_locations(persons, raw["location_specifier"], out["location"])
     out["terms_of_office"] = terms_of_office(persons, raw["member_of_parliament"], raw["minister"], raw["speaker"], out["district"], out["government"], out["sub_office_type"])
     out["minister_government"] = minister_governments(out["terms_of_office"])
-    out["party"] = parties(raw["swedeb_parties"])
-    out["person_party"] = person_parties(persons, raw["party_affiliation"], raw["swedeb_parties"], out["party"])
+    out["party"] = parties(raw["known_parties"])
+    out["person_party"] = person_parties(persons, raw["party_affiliation"], raw["known_parties"], out["party"])
     out["persons_of_interest"] = with_single_party(persons, out["person_party"])
     return out
 

@@ -18,6 +18,7 @@ from plenumspark.operators.asof import office_at, party_at, with_sequence
 from plenumspark.operators.codecs import Codec, any_person, apply_codecs, overload_by_person, speakers, unknown_speakers
 from plenumspark.operators.grouping import group_segments, named_groups, records
 from plenumspark.operators.quality import corpus_subset, duplicates, empty_protocols, foreign_key_violations
+from plenumspark.operators.runs import previous_of
 from plenumspark.operators.segment import attribute_notes, page_numbers, segments
 from plenumspark.operators.sequence import broken_links, invalid_speeches, orphans_of_chain, speech_numbers, speeches, strategy_table
 from plenumspark.operators.tagged import filtered, id_frame, incidence, pos_counts, term_counts, vocabulary
@@ -54,10 +55,9 @@ def utterances(spark: SparkSession, d: str, *more: str) -> DataFrame:
     s = table(spark, d, "protocol_segments").select(
         "protocol_name", F.regexp_extract("name", r"(\d+)$", 1).cast("int").alias("u_idx"), "u_id", F.coalesce("who", F.lit("unknown")).alias("who"), "speaker_note_id", "page_number", "year", *more
     ).dropDuplicates(["u_id"])
-    w = W.partitionBy("protocol_name").orderBy("u_idx", "u_id")
-    for f, out in ((F.lag, "prev_id"), (F.lead, "next_id")):
-        s = s.withColumn("__w", f("who").over(w)).withColumn("__n", f("speaker_note_id").over(w)).withColumn("__u", f("u_id").over(w))
-        s = s.withColumn(out, F.when((F.col("__w") == F.col("who")) & (F.col("__n") == F.col("speaker_note_id")), F.col("__u"))).drop("__w", "__n", "__u")
+    s = previous_of(s, "protocol_name", "u_idx", "u_id", ["who", "speaker_note_id", "u_id"], following=True)
+    for side, out in (("__prev", "prev_id"), ("__next", "next_id")):
+        s = s.withColumn(out, F.when((F.col(f"{side}.who") == F.col("who")) & (F.col(f"{side}.speaker_note_id") == F.col("speaker_note_id")), F.col(f"{side}.u_id"))).drop(side)
     return s
 
 

@@ -122,7 +122,7 @@ def test_notes_and_pages(spark):
 
 def test_page_references(spark):
     e = spark.createDataFrame(
-        [("p", 0, "pb", None, None), ("p", 1, "pb", "7", None), ("p", 2, "pb", "x", None), ("p", 3, "pb", None, "https://betalab.kb.se/a/b-012.jp2"), ("p", 4, "pb", "https://data.riksdagen.se/x.pdf#page=3", None)],
+        [("p", 0, "pb", None, None), ("p", 1, "pb", "7", None), ("p", 2, "pb", "x", None), ("p", 3, "pb", None, "https://kb.se/a/b-012.jp2"), ("p", 4, "pb", "https://data.riksdagen.se/x.pdf#page=3", None)],
         "protocol_name string, pos int, tag string, n string, facs string",
     )
     got = [(r["source_id"], r["page_number"], r["reference"]) for r in segment.page_references(e).orderBy("pos").collect()]

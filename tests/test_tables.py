@@ -36,7 +36,7 @@ def raw(spark):
         "speaker": df([("p1", "1935", "Y", "1936", "Y", "andra kammarens talman i andra kammaren")], "person_id string, start string, start_flag string, end string, end_flag string, role string"),
         "government": df([("Gov I", "1949-01-01", None)], "government string, start string, end string"),
         "location_specifier": df([("p1", "Luleå"), ("p2", None)], "person_id string, location string"),
-        "swedeb_parties": df([("S-partiet", "S", "Socialen", 1), ("M-partiet", "M", "Moderaten", 2)], "swerik_party string, abbreviation string, party string, sort_order int"),
+        "known_parties": df([("S-partiet", "S", "Socialen", 1), ("M-partiet", "M", "Moderaten", 2)], "source_party string, abbreviation string, party string, sort_order int"),
         "party_affiliation": df([("p1", "S-partiet", "1930", "Y", "1935", "Y"), ("p1", "M-partiet", "1936", "Y", None, "X"), ("p2", "S-partiet", None, "X", None, "X"), ("p3", "S-partiet", None, "X", None, "X")], "person_id string, party string, start string, start_flag string, end string, end_flag string"),
     }
 
