@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, unless they find it as the driver does.
+
+    Workers of a local master have the driver's working folder and PYTHONPATH; any others get the package
+    as an archive from the driver, once an application.
+    """
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    places = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if context.master == "local" or context.master.startswith("local["):
+        places.append(os.getcwd())
+    if (context.master.startswith("local") and root in places) or context.applicationId in _shipped or not os.path.isdir(package):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="plenumspark-"), "plenumspark.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` on as many partitions as there are cores, where its files give fewer: for Python work on small inputs.
 

@@ -45,3 +45,18 @@ def test_query_without_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_workers_find_the_package_from_anywhere(tmp_path):
+    """A driver that has the repository on its path alone sends the package to its workers."""
+    import subprocess
+    import sys
+
+    code = (
+        f"import sys; sys.path.insert(0, {os.path.dirname(os.path.abspath(entry.__file__))!r})\n"
+        "from plenumspark.session import local_session\nimport __spark_entry__ as e\n"
+        f"s = local_session('2', 2)\nprint('ROWS', e.queries()['p1_found'](s, {FOLDER!r}).count())"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "ROWS" in out.stdout, out.stderr[-800:]
