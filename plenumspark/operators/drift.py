@@ -17,12 +17,12 @@ SPARK_TYPE = {"whole": "bigint", "fractional": "double", "boolean": "boolean"}
 
 
 def _bit(v: Column) -> Column:
-    """The type bit of a variant, 0 for null."""
+    """The type bit of a variant, 0 for null. A short decimal without a fraction was written as one (9.0): whole numbers are BIGINT up to 19 digits."""
     s = F.schema_of_variant(v)
     return (
         F.when(v.isNull() | (s == "VOID"), 0).when(s == "STRING", TYPES["string"]).when(s == "BOOLEAN", TYPES["boolean"])
         .when(s.startswith("ARRAY"), TYPES["array"]).when(s.startswith("OBJECT"), TYPES["object"])
-        .when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | s.rlike(r"^DECIMAL\(\d+,\s*0\)$"), TYPES["whole"]).otherwise(TYPES["fractional"])
+        .when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | s.rlike(r"^DECIMAL\((19|[23]\d),\s*0\)$"), TYPES["whole"]).otherwise(TYPES["fractional"])
     )
 
 

@@ -111,7 +111,7 @@ def test_schema_changes(spark):
     rng = random.Random(8)
     rows = []
     for s in range(6):
-        fields = {f"f{i}": rng.choice(["i", "s", "f", "b", "a", "o"]) for i in range(6)}
+        fields = {f"f{i}": rng.choice(["i", "s", "f", "z", "b", "a", "o"]) for i in range(6)}
         for no in range(5):
             if no:
                 f = rng.choice(sorted(fields))
@@ -123,9 +123,9 @@ def test_schema_changes(spark):
                 elif kind == "add":
                     fields[f"n{s}{no}"] = "s"
                 elif kind == "retype":
-                    fields[f] = rng.choice(["i", "s", "f", "b", "a", "o"])
+                    fields[f] = rng.choice(["i", "s", "f", "z", "b", "a", "o"])
             for k in range(12):
-                v = {"i": k, "s": f"v{k}", "f": k + 0.5, "b": bool(k % 2), "a": [k], "o": {"x": k}}
+                v = {"i": k, "s": f"v{k}", "f": k + 0.5, "z": float(k), "b": bool(k % 2), "a": [k], "o": {"x": k}}
                 o = {n: (None if rng.random() < 0.1 else v[t]) for n, t in fields.items() if rng.random() < 0.95}
                 rows.append((s, no, s * 10 + no, "t", f"k{k}", json.dumps(o)))
     rows += rows[:9] + [(9, 0, 90, "t", "k", None), (9, 1, 91, "t", "k", "{}"), (9, 2, 92, "t", "k", '{"a": 1}')]
