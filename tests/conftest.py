@@ -1,10 +1,16 @@
+import os
+import sys
+
 import pytest
 
-from plenumspark.session import local_session
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from plenumspark.session import local_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session("4", 4)
     s.sparkContext.setLogLevel("ERROR")
+    ship_package(s)
     return s
