@@ -61,11 +61,12 @@ def schema_changes(records: DataFrame, share: float = 0.8) -> DataFrame:
     Repeated rows count once. Null payloads are records without fields. Values of candidate pairs alone
     are compared, and only in files that have both a gone and a new field.
     """
-    files = _files(records).where("prev_id IS NOT NULL")
-    h = checkpointed(headers(records)).select("file_id", "field", "bits")  # files by fields: small, and used twice
+    # Tables of files and fields are small and used several times: each is kept once, so that no plan holds them twice.
+    files = checkpointed(_files(records).where("prev_id IS NOT NULL"))
+    h = checkpointed(headers(records)).select("file_id", "field", "bits")
     now = files.join(h, "file_id").select("file_id", "prev_id", "field", F.col("bits").alias("now"))
     before = files.join(h.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "field", F.col("bits").alias("before"))
-    both = now.drop("prev_id").join(before, ["file_id", "field"], "full")
+    both = checkpointed(now.drop("prev_id").join(before, ["file_id", "field"], "full"))
     gone = both.where("now IS NULL").select("file_id", F.col("field").alias("old"))
     come = both.where("before IS NULL").select("file_id", F.col("field").alias("new"))
     pairs = gone.join(come, "file_id").groupBy("file_id").agg(F.sort_array(F.collect_set(F.struct("old", "new"))).alias("pairs")).join(files.select("file_id", "prev_id"), "file_id")
@@ -84,7 +85,7 @@ def schema_changes(records: DataFrame, share: float = 0.8) -> DataFrame:
         .where(F.coalesce("same", F.lit(0)) >= F.col("n") * F.lit(share))
     )
     best = lambda side, other: F.row_number().over(W.partitionBy("file_id", side).orderBy((F.col("same") / F.col("n")).desc(), F.col("n").desc(), other))
-    renamed = matched.withColumn("a", best("old", "new")).withColumn("b", best("new", "old")).where("a = 1 AND b = 1").select("file_id", "old", "new")
+    renamed = checkpointed(matched.withColumn("a", best("old", "new")).withColumn("b", best("new", "old")).where("a = 1 AND b = 1").select("file_id", "old", "new"))
     row = lambda df, kind, field, new: df.select("file_id", F.lit(kind).alias("change_kind"), F.col(field).alias("field_name"), new.alias("new_name"))
     retyped = both.withColumn("p", promoted(F.col("before"))).withColumn("q", promoted(F.col("now"))).where("now IS NOT NULL AND before IS NOT NULL AND p <> q")
     return (
