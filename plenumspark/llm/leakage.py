@@ -197,39 +197,50 @@ def holds_passage(doc: list[str], item: list[str]) -> bool:
     """Whether `doc` holds WINDOW item words on end in order, with about one error in WORDS_AN_ERROR.
 
     A local alignment that begins and ends with equal words; a misspelled, missing or extra word is one
-    error and takes 2 of the score, another word in its place is two. Missing words are not held. Only
-    cells with a score are kept, so what doesn't match costs next to nothing.
+    error, another word in its place is two. Missing words are not held. A cell keeps its (worth, words
+    held) of which none is beaten in both; worth is words of the item used less WORDS_AN_ERROR an error.
+    What is worth less than `floor` is dropped without loss: what would have to follow it is a passage
+    by itself.
     """
     places: dict[str, list[int]] = defaultdict(list)
     for j, w in enumerate(item):
         places[w].append(j)
     m = len(item)
-    previous: dict[int, tuple[int, int, int, int]] = {}  # words of the item used -> score, first word, errors, missing words
-    for x in doc:
-        current: dict[int, tuple[int, int, int, int]] = {}
-        for j, (score, first, errors, missing) in previous.items():
-            if j < m:
-                if item[j] == x:
-                    to = (score + 1, first, errors, missing)
-                    n = j + 1 - first
-                    if n - missing >= WINDOW and errors <= (n + WORDS_AN_ERROR // 2) // WORDS_AN_ERROR:
-                        return True
-                elif score > 2 and _close(x, item[j]):
-                    to = (score - 2, first, errors + 1, missing)
-                else:
-                    to = (score - 4, first, errors + 2, missing + 1)
-                if to[0] > 0 and (j + 1 not in current or current[j + 1][0] < to[0]):
-                    current[j + 1] = to
-            if score > 2 and (j not in current or current[j][0] < score - 2):
-                current[j] = (score - 2, first, errors + 1, missing)
+    enough = -(WORDS_AN_ERROR // 2)
+    floor = enough - (WINDOW - 1)
+    cost = WORDS_AN_ERROR - 1  # of a word of the item that is misspelled or missing
+
+    def put(cells: dict[int, list[tuple[int, int]]], j: int, worth: int, held: int, left: int) -> None:
+        """Add a state at item place j, and those in which the next words are missing."""
+        if held + left < WINDOW:
+            return
+        while worth >= floor and held + m - j >= WINDOW:
+            states = cells.get(j)
+            if states is None:
+                cells[j] = [(worth, held)]
+            elif any(a >= worth and b >= held for a, b in states):
+                return
+            else:
+                cells[j] = [(a, b) for a, b in states if a > worth or b > held] + [(worth, held)]
+            j, worth = j + 1, worth - cost
+
+    previous: dict[int, list[tuple[int, int]]] = {}  # words of the item used -> states
+    for i, x in enumerate(doc, 1):
+        current: dict[int, list[tuple[int, int]]] = {}
+        left = len(doc) - i
+        for j, states in previous.items():
+            for worth, held in states:
+                if j < m:
+                    if item[j] == x:
+                        if held + 1 >= WINDOW and worth + 1 >= enough:
+                            return True
+                        put(current, j + 1, worth + 1, min(held + 1, WINDOW), left)
+                    elif worth - cost >= floor and _close(x, item[j]):
+                        put(current, j + 1, worth - cost, min(held + 1, WINDOW), left)
+                if worth - WORDS_AN_ERROR >= floor:
+                    put(current, j, worth - WORDS_AN_ERROR, held, left)
         for j in places.get(x, ()):
-            if j + 1 not in current:
-                current[j + 1] = (1, j, 0, 0)
-        for j in sorted(current):
-            score, first, errors, missing = current[j]
-            while score > 2 and j < m and (j + 1 not in current or current[j + 1][0] < score - 2):
-                score, errors, missing, j = score - 2, errors + 1, missing + 1, j + 1
-                current[j] = (score, first, errors, missing)
+            put(current, j + 1, 1, 1, left)
         previous = current
     return False
 

@@ -89,3 +89,55 @@ def test_very_long_document(spark, planted):
     d = spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")
     i = spark.createDataFrame([(3, " ".join(items[3]))], "item_id long, text string")
     assert [tuple(r) for r in leakage.leaks(d, i).collect()] == [(1, 3)]
+
+
+def spoilt(words, at, kind):
+    """A word inside the passage misspelled, or one put in before it."""
+    return [*words[:at], "ju", *words[at:]] if kind == "in" else [*words[:at], words[at][1] + words[at][0] + words[at][2:], *words[at + 1 :]]
+
+
+@pytest.mark.parametrize("n", [10, 11, 12])
+def test_one_error_at_every_inner_place(spark, n):
+    rng = random.Random(n)
+    item = rng.sample(WORDS, 40)
+    docs = [rng.sample(WORDS, 15) + spoilt(item[15 : 15 + n], at, kind) + rng.sample(WORDS, 15) for kind in ("in", "mis") for at in range(1, n - 1)]
+    assert [d for d in docs if not leakage.holds_passage(d, item)] == []
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in leakage.leaks(d, i).collect()) == list(range(len(docs)))
+
+
+def aligned(doc, item):
+    """holds_passage by all alignments: (item words used, errors, missing words) of each cell, nothing left out."""
+    previous = {}
+    for x in doc:
+        current = {}
+        for j in range(1, len(item) + 1):
+            cell = current.setdefault(j, set())
+            if item[j - 1] == x:
+                cell |= {(1, 0, 0)} | {(n + 1, e, k) for n, e, k in previous.get(j - 1, ())}
+                if any(n - k >= leakage.WINDOW and e <= (n + 4) // 8 for n, e, k in cell):
+                    return True
+            elif leakage._close(x, item[j - 1]):
+                cell |= {(n + 1, e + 1, k) for n, e, k in previous.get(j - 1, ())}
+            cell |= {(n, e + 1, k) for n, e, k in previous.get(j, ())} | {(n + 1, e + 1, k + 1) for n, e, k in current.get(j - 1, ())}
+            current[j] = {c for c in cell if c[1] <= 5}
+        previous = current
+    return False
+
+
+def test_alignment_against_all_alignments():
+    rng = random.Random(11)
+    seen = set()
+    for _ in range(400):
+        item = text(rng, 24) if rng.random() < 0.5 else [rng.choice(WORDS[:6]) for _ in range(24)]
+        a = rng.randrange(0, 8)
+        part = item[a : a + rng.randrange(9, 17)]
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(0, len(part))
+            part = spoilt(part, at, rng.choice(["in", "mis"])) if rng.random() < 0.7 else part[:at] + part[at + 1 :]
+        doc = text(rng, 4) + part + text(rng, 4)
+        want = aligned(doc, item)
+        seen.add(want)
+        assert leakage.holds_passage(doc, item) == want
+    assert seen == {True, False}
