@@ -56,6 +56,8 @@ _SUSPENDED = re.compile(r"(?:[o0][ce][hb]|e[l1]{2}er|sa(?:m|rn)t|respektive|resp
 _WEEKDAY_START = re.compile(r"[MTOFLS]", re.I)
 _TIME = re.compile(r"\d+h\d+m\d+s\Z")
 _YEAR = re.compile(r"(?=.*\d)(?=.*[^\d])[1lIi2Z][\dlIioOSsgqBZ]{3}\Z")
+#: The digits that the letters of a misread year stand for.
+_DIGITS = str.maketrans("OolIiZSsBgq", "00111255899")
 
 
 def skeleton(word: str) -> str:
@@ -287,6 +289,20 @@ def misread_words(counts: DataFrame, ratio: float = RATIO) -> DataFrame:
     return pairs.select("word", "n", "printed", _marks("word", "printed").alias("at")).where("at IS NOT NULL AND size(at) > 0").dropDuplicates(["word"])
 
 
+@F.pandas_udf(T.BooleanType())
+def _ruled(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: not _YEAR.match(w) and _by_rule(w) is not None)
+
+
+def ruled_words(counts: DataFrame) -> DataFrame:
+    """(word, printed): words with digits in them and the most frequent word of letters alone each can be misread for, however rare."""
+    s = counts.where(F.length("word") > 1)
+    wrong = s.where(F.col("word").rlike("[0-9]")).where(_ruled("word")).withColumn("skeleton", F.explode(_skeletons("word"))).select("word", "skeleton")
+    whole = s.where(~F.col("word").rlike("[^\\p{L}]")).withColumn("skeleton", F.explode(_skeletons("word"))).select(F.col("word").alias("printed"), F.col("n").alias("most"), "skeleton")
+    pairs = whole.join(wrong, "skeleton").withColumn("at", _marks("word", "printed")).where("at IS NOT NULL AND size(at) > 0")
+    return pairs.groupBy("word").agg(F.max_by("printed", F.struct("most", "printed")).alias("printed"))
+
+
 def _by_rule(word: str) -> list[int] | None:
     """Misread characters that show without a vocabulary: digits within a word, letters within a year."""
     if word.isalpha() or word.isdigit() or _TIME.match(word):
@@ -380,8 +396,8 @@ def line_defects(segments: DataFrame) -> DataFrame:
     return joined.select("u_id", F.explode(lines).alias("line_no"), F.when(F.col("defect") == "rare", "glyph").otherwise(F.col("defect")).alias("defect")).distinct()
 
 
-def repair(data: str, fixes: dict[str, str]) -> list[str]:
-    """The paragraphs of a page: furniture gone, broken words joined, misread words replaced."""
+def repair(data: str, fixes: dict[str, str], mend_years: bool = False) -> list[str]:
+    """The paragraphs of a page: furniture gone, broken words joined, misread words and, if wanted, years replaced."""
     lines, kinds, split = parse_page(data)[:3]
     paragraphs, current = [], ""
     glue = False
@@ -411,21 +427,24 @@ def repair(data: str, fixes: dict[str, str]) -> list[str]:
         w = m.group()
         to = fixes.get(w.lower())
         if to is None:
-            return w
+            return w.translate(_DIGITS) if mend_years and _YEAR.match(w) else w
         return to.upper() if w.isupper() and len(w) > 1 else to[:1].upper() + to[1:] if w[:1].isupper() else to
 
-    return [_WORD.sub(fixed, re.sub(r"\s+", " ", p)) if scanned or fixes else p for p in paragraphs]
+    return [_WORD.sub(fixed, re.sub(r"\s+", " ", p) if scanned or fixes else p) if scanned or fixes or mend_years else p for p in paragraphs]
 
 
-def paragraphs(segments: DataFrame) -> DataFrame:
+def paragraphs(segments: DataFrame, mend_years: bool = False) -> DataFrame:
     """(u_id, paragraph_no, text): the repaired paragraphs of every segment, numbered from 1.
 
-    Misread words get the printed form they are mixed up with; what was misread by rule alone stays. A
-    segment's fixes are found in the join on rare words and reach it by u_id.
+    Misread words get the printed form they are mixed up with; a word with digits in it, if none is so
+    much more frequent, the most frequent one of letters. It stays as read only where the corpus has none,
+    as an o can't be told from an ö then. Letters in years become digits with `mend_years`. A segment's
+    fixes are found in the join on rare words and reach it by u_id.
     """
     segments = segments.select("u_id", "data").where("u_id IS NOT NULL AND data IS NOT NULL").distinct()
     counts = checkpointed(word_counts(segments))
     misread = misread_words(counts).select("word", "printed")
+    misread = checkpointed(misread.unionByName(ruled_words(counts).join(misread, "word", "left_anti")))
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -443,7 +462,7 @@ def paragraphs(segments: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for u, d, f in zip(pdf["u_id"], pdf["data"], pdf["fixes"]):
-                out += [(u, n, p) for n, p in enumerate(repair(d, dict(f) if f is not None else {}), 1)]
+                out += [(u, n, p) for n, p in enumerate(repair(d, dict(f) if f is not None else {}, mend_years), 1)]
             yield pd.DataFrame(out, columns=["u_id", "paragraph_no", "text"])
 
     return segments.join(fixes, "u_id", "left").mapInPandas(repaired, "u_id string, paragraph_no int, text string")

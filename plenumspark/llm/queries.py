@@ -32,7 +32,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """The repaired paragraphs of every segment."""
-    return paragraphs(table(spark, d, "protocol_segments").select("u_id", "data"))
+    return paragraphs(table(spark, d, "protocol_segments").select("u_id", "data"), mend_years=True)
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from plenumspark.llm import pages
 from plenumspark.llm.pages import BODY, BREAK, HEADER, NUMBER
+from plenumspark.llm.queries import QUERIES
 
 
 def kinds(text):
@@ -86,3 +87,13 @@ def test_very_long_text():
     text = "\n".join(["ett ord till"] * 50_000 + ["– 12 –"] * 2 + ["slut"])
     page = pages.parse_page(text)
     assert page.kinds.count(NUMBER) == 2 and len(page.words) == 50_001
+
+
+def test_paragraphs_query_mends_years_and_words_with_digits(spark, segments, tmp_path):
+    more = spark.createDataFrame([("y", "åren l942, 1g89, 2OlS och 19Z8"), ("z", "mötet i Ljusdal\nLju5dal 18.\nx1zq"), ("v", "1942 2bis 4g")], "u_id string, data string")
+    segments.select("u_id", "data").unionByName(more).write.parquet(f"{tmp_path}/protocol_segments.parquet")
+    got = {(r["u_id"], r["paragraph_no"]): r["text"] for r in QUERIES["p4_paragraphs"](spark, str(tmp_path)).where("u_id IN ('e', 'v', 'y', 'z')").collect()}
+    assert got == {
+        ("e", 1): "riksdagen år 1905 vattenstyrelsen här", ("e", 2): "Nästa stycke 1905.", ("y", 1): "åren 1942, 1989, 2015 och 1928",
+        ("z", 1): "mötet i Ljusdal Ljusdal 18. x1zq", ("v", 1): "1942 2bis 4g",
+    }
