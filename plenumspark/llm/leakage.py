@@ -22,8 +22,9 @@ from plenumspark.session import spread
 WINDOW, WORDS_AN_ERROR = 10, 8
 #: Words of a shingle. TESTDATA fixes ten words with about one error in eight; no five-word shingle need survive an error in their midst.
 SHINGLE = 3
-#: Shingles of a window that survive an error inside it, and the odds of missing such a window.
-INTACT, MISS = WINDOW - SHINGLE + 1 - SHINGLE, 1e-6
+#: Shingles of a passage that survive its allowed errors (two in twelve words leave four of ten), how many of them each has in
+#: a window with it, itself counted, and the odds of missing such a passage.
+INTACT, TOGETHER, MISS = WINDOW + 2 - SHINGLE + 1 - 2 * SHINGLE, 2, 1e-6
 #: A document's shingles are cut into chunks of this many; a block is two neighbours, so every window lies in one.
 CHUNK = WINDOW
 #: Size classes of blocks (most shingles): small blocks need fewer hash functions for the same recall.
@@ -47,8 +48,11 @@ def words_of(text: str) -> list[str]:
 
 
 def hash_functions(shingles: int) -> int:
-    """Hash functions that a block of so many shingles needs to meet an INTACT window with odds 1 - MISS."""
-    j = INTACT / (shingles + (WINDOW - SHINGLE + 1) - INTACT)
+    """Hash functions that a block of so many shingles needs to meet a window of an INTACT passage with odds 1 - MISS.
+
+    Each intact shingle may be the least of the block and of the rest of a window with it.
+    """
+    j = INTACT / (shingles + (WINDOW - SHINGLE + 1) - TOGETHER)
     return math.ceil(math.log(MISS) / math.log(1 - j))
 
 
@@ -159,7 +163,7 @@ class ItemIndex:
         return list(found)
 
     def contained(self, item: int, s: list[int]) -> tuple[int, int] | None:
-        """Exact shingle containment: the item positions around a window of which at least INTACT shingles are in the block; None if there is none."""
+        """Exact shingle containment: the item positions around a passage of which at least INTACT shingles are in the block; None if there is none."""
         pairs = self.pairs[item]
         at = sorted({i for x in s for i in pairs.get(x, ())})
         if len(at) < INTACT:

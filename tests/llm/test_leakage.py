@@ -141,3 +141,21 @@ def test_alignment_against_all_alignments():
         seen.add(want)
         assert leakage.holds_passage(doc, item) == want
     assert seen == {True, False}
+
+
+def test_two_errors_at_any_inner_places(spark):
+    rng = random.Random(13)
+    item = rng.sample(WORDS, 40)
+    docs = [rng.sample(WORDS, 15 + k) + spoilt(spoilt(item[15:27], b, kb), a, ka) + rng.sample(WORDS, 15) for k in range(10) for a in range(1, 11) for b in range(a + 1, 11) for ka, kb in (("mis", "mis"), ("in", "in"), ("mis", "in"))]
+    assert [d for d in docs if not leakage.holds_passage(d, item)] == []
+    index = leakage.ItemIndex([(1, " ".join(item))])
+    hasher = leakage._Hasher()
+    windows = [set(leakage.shingles(hasher(item[i : i + leakage.WINDOW])).tolist()) for i in range(31)]
+    for d in docs:
+        s = leakage.shingles(hasher(d)).tolist()
+        blocks = [s[a : a + 2 * leakage.CHUNK] for a in range(0, len(s), leakage.CHUNK)]
+        odds = [sum(1 / (2 * leakage.CHUNK + min(len(w - set(b)) for w in windows if x in w)) for x in b if any(x in w for w in windows)) for b in blocks if index.contained(1, b)]
+        assert (1 - max(odds)) ** leakage.hash_functions(leakage.CLASSES[1]) <= leakage.MISS
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in leakage.leaks(d, i).collect()) == list(range(len(docs)))
