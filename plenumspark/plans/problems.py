@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plenumspark.functions.wallclock import wall_micros
 from plenumspark.operators.asof import known_at
-from plenumspark.operators.drift import schema_changes, union_table
+from plenumspark.operators.drift import schema_changes, union_schema, union_table, union_values
 from plenumspark.operators.intervals import day_unit, periods_and_gaps, unit_day
 from plenumspark.operators.orphans import orphans
 from plenumspark.operators.persons import names_somebody, resolve
@@ -84,7 +84,19 @@ def p6_document_index(spark: SparkSession, d: str) -> DataFrame:
     return union_table(table(spark, d, "metadata_records"), "document_index")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_segment_party, p3_found, p3_report, p5_found, p6_found, p6_person, p6_document_index)}
+def p6_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of both tables, the field each began as, and its type."""
+    records = table(spark, d, "metadata_records")
+    return union_schema(records, "person").unionByName(union_schema(records, "document_index"))
+
+
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """All values of both tables, one row each."""
+    records = table(spark, d, "metadata_records")
+    return union_values(records, "person").unionByName(union_values(records, "document_index"))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_segment_party, p3_found, p3_report, p5_found, p6_found, p6_person, p6_document_index, p6_columns, p6_values)}
 
 _WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]+"
 
@@ -133,15 +145,8 @@ SELECT '{table_name}' AS interval_table, k AS person_id, kind AS span_kind, {bac
   SELECT k, 'period' AS kind, a, b FROM n UNION ALL SELECT k, 'gap', b + {one}, nxt - {one} FROM n WHERE nxt IS NOT NULL)"""
 
 
-SQL = {
-    "p1_found": _P1 + "SELECT * FROM found",
-    "p1_segment_party": _P1 + "SELECT s.u_id, x.party_id FROM (SELECT DISTINCT u_id FROM protocol_segments) s LEFT JOIN (SELECT f.u_id, p.party_id FROM found f JOIN (SELECT DISTINCT person_party_id, party_id FROM person_party) p USING (person_party_id)) x USING (u_id)",
-    "p3_found": _P3 + "SELECT * FROM found",
-    "p3_report": _P3 + "SELECT child_table, period, reason, count(*) AS n_orphans FROM found GROUP BY ALL",
-    "p5_found": _islands("terms_of_office", "(t.start_date - DATE '0001-01-01')", "(coalesce(t.end_date, DATE '9999-12-31') - DATE '0001-01-01')", "1", "strftime(DATE '0001-01-01' + CAST({0} AS INTEGER), '%Y-%m-%d')")
-    + " UNION ALL " + _islands("person_party", "t.start_year", "coalesce(t.end_year, 9999)", "1", "CAST({0} AS VARCHAR)"),
-    "p6_found": """
-WITH r AS (SELECT DISTINCT series_no, file_no, file_id, record_key, payload FROM metadata_records),
+_P6 = """
+WITH RECURSIVE r AS (SELECT DISTINCT series_no, file_no, file_id, record_key, payload FROM metadata_records),
 f AS (SELECT file_id, lag(file_id) OVER (PARTITION BY series_no ORDER BY file_no, file_id) AS prev_id FROM (SELECT DISTINCT series_no, file_no, file_id FROM r)),
 k AS (SELECT file_id, record_key, payload, unnest(json_keys(payload)) AS field FROM r),
 v AS (SELECT file_id, record_key, field, json_type(payload, '$."' || field || '"') AS t, json_extract_string(payload, '$."' || field || '"') AS x FROM k),
@@ -156,9 +161,38 @@ m AS (SELECT g.file_id, g.field AS old, c.field AS new, count(*) AS n, count(*)
   WHERE o.x IS NOT NULL OR w.x IS NOT NULL GROUP BY 1, 2, 3),
 b AS (SELECT *, row_number() OVER (PARTITION BY file_id, old ORDER BY same / n DESC, n DESC, new) AS i, row_number() OVER (PARTITION BY file_id, new ORDER BY same / n DESC, n DESC, old) AS j FROM m WHERE same >= 0.8 * n),
 ren AS (SELECT file_id, old, new FROM b WHERE i = 1 AND j = 1)
+"""
+_P6_UNION = _P6.rstrip() + """,
+edge AS (SELECT f.file_id, p.field, b.file_id AS prev_id, b.field AS old FROM f JOIN p ON p.file_id = f.file_id
+  LEFT JOIN ren ON ren.file_id = f.file_id AND ren.new = p.field LEFT JOIN p b ON b.file_id = f.prev_id AND b.field = coalesce(ren.old, p.field)),
+line AS (SELECT file_id, field, field AS name FROM edge WHERE old IS NULL
+  UNION ALL SELECT e.file_id, e.field, l.name FROM line l JOIN edge e ON e.prev_id = l.file_id AND e.old = l.field),
+typed AS (SELECT t.table_name, l.name, bit_or(h.bits) AS bits, min(t.file_no * 1000000 + t.series_no) AS since FROM line l JOIN h ON h.file_id = l.file_id AND h.field = l.field
+  JOIN (SELECT DISTINCT table_name, file_id, file_no, series_no FROM metadata_records) t ON t.file_id = l.file_id GROUP BY 1, 2),
+named AS (SELECT *, row_number() OVER (PARTITION BY table_name, lower(name) ORDER BY since, name) AS no FROM typed),
+cols AS (SELECT table_name, name, CASE WHEN lower(name) IN ('series_no', 'file_no', 'file_id', 'record_key') THEN name || '_' WHEN no = 1 THEN name ELSE name || '_' || no END AS column_name,
+  CASE bits WHEN 0 THEN 'string' WHEN 1 THEN 'whole' WHEN 2 THEN 'fractional' WHEN 3 THEN 'fractional' WHEN 4 THEN 'boolean' WHEN 16 THEN 'array' WHEN 32 THEN 'object' ELSE 'string' END AS type FROM named)
+"""
+
+SQL = {
+    "p1_found": _P1 + "SELECT * FROM found",
+    "p1_segment_party": _P1 + "SELECT s.u_id, x.party_id FROM (SELECT DISTINCT u_id FROM protocol_segments) s LEFT JOIN (SELECT f.u_id, p.party_id FROM found f JOIN (SELECT DISTINCT person_party_id, party_id FROM person_party) p USING (person_party_id)) x USING (u_id)",
+    "p3_found": _P3 + "SELECT * FROM found",
+    "p3_report": _P3 + "SELECT child_table, period, reason, count(*) AS n_orphans FROM found GROUP BY ALL",
+    "p5_found": _islands("terms_of_office", "(t.start_date - DATE '0001-01-01')", "(coalesce(t.end_date, DATE '9999-12-31') - DATE '0001-01-01')", "1", "strftime(DATE '0001-01-01' + CAST({0} AS INTEGER), '%Y-%m-%d')")
+    + " UNION ALL " + _islands("person_party", "t.start_year", "coalesce(t.end_year, 9999)", "1", "CAST({0} AS VARCHAR)"),
+    "p6_found": _P6 + """
 SELECT file_id, 'renamed' AS change_kind, old AS field_name, new AS new_name FROM ren
 UNION ALL SELECT file_id, 'removed', field, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.file_id = g.file_id AND ren.old = g.field)
 UNION ALL SELECT file_id, 'added', field, '' FROM come c WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.file_id = c.file_id AND ren.new = c.field)
 UNION ALL SELECT f.file_id, 'retyped', a.field, '' FROM f JOIN p a ON a.file_id = f.file_id JOIN p b ON b.file_id = f.prev_id AND b.field = a.field WHERE a.t <> b.t
+""",
+    "p6_columns": _P6_UNION + "SELECT table_name, column_name, name AS field_name, type FROM cols",
+    "p6_values": _P6_UNION + """
+SELECT c.table_name, v.file_id, v.record_key, c.column_name,
+  CASE c.type WHEN 'whole' THEN CAST(TRY_CAST(v.x AS BIGINT) AS VARCHAR) WHEN 'boolean' THEN CAST(TRY_CAST(v.x AS BOOLEAN) AS VARCHAR) WHEN 'fractional' THEN NULL ELSE v.x END AS value,
+  CASE c.type WHEN 'fractional' THEN TRY_CAST(v.x AS DOUBLE) END AS number
+FROM v JOIN line l ON l.file_id = v.file_id AND l.field = v.field JOIN (SELECT DISTINCT file_id, table_name FROM metadata_records) t ON t.file_id = v.file_id JOIN cols c ON c.table_name = t.table_name AND c.name = l.name
+WHERE v.t <> 'NULL' AND (value IS NOT NULL OR number IS NOT NULL)
 """,
 }

@@ -146,6 +146,31 @@ def test_union_table(spark):
     assert drift.union_table(spark.createDataFrame(rows, RECORDS), "none").count() == 0
 
 
+def test_union_table_with_names_that_differ_in_case(spark):
+    rows = [
+        (1, 1, 11, "t", "a", '{"person_id": "x", "FILE_ID": 7}'), (1, 2, 12, "t", "a", '{"person_id": "x", "PERSON_ID": 3, "FILE_ID": 7}'),
+        (1, 3, 13, "t", "a", '{"Person_Id": "x", "PERSON_ID": 4, "person_id": 1.5}'), (1, 3, 13, "t", None, None),
+    ]
+    t = drift.union_table(spark.createDataFrame(rows, RECORDS), "t")
+    assert sorted(t.columns) == ["FILE_ID_", "PERSON_ID_2", "Person_Id_3", "file_id", "file_no", "person_id", "record_key", "series_no"]
+    got = {(r["file_id"], r["record_key"]): (r["person_id"], r["PERSON_ID_2"], r["FILE_ID_"]) for r in t.collect()}
+    assert got == {(11, "a"): ("x", None, 7), (12, "a"): ("x", 3, 7), (13, "a"): ("1.5", 4, None), (13, None): (None, None, None)}
+    assert drift.column_names(["a", "A", "a_2", "file_no"]) == ["a", "A_2", "a_2_2", "file_no_"]
+
+
+def test_a_line_of_renames_keeps_its_name_when_the_name_is_taken_again(spark):
+    rows = [(1, 1, 11, "t", "a", '{"x": 1}'), (1, 2, 12, "t", "a", '{"y": 1}'), (1, 3, 13, "t", "a", '{"y": 1, "x": true}')]
+    t = drift.union_table(spark.createDataFrame(rows, RECORDS), "t")
+    assert sorted((r["file_id"], r["x"], r["x_2"]) for r in t.collect()) == [(11, 1, None), (12, 1, None), (13, 1, True)]
+
+
+def test_many_renamed_fields_at_once(spark):
+    old, new = {f"o{i}": f"v{i}" for i in range(300)}, {f"n{i}": f"v{i}" for i in range(300)}
+    rows = [(1, 1, 11, "t", k, json.dumps(old)) for k in "abc"] + [(1, 2, 12, "t", k, json.dumps(new)) for k in "abc"]
+    got = drift.schema_changes(spark.createDataFrame(rows, RECORDS)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((12, "renamed", f"o{i}", f"n{i}") for i in range(300))
+
+
 def test_references(spark):
     person = spark.createDataFrame([("i-1", "Q1"), ("i-1", "Q1"), ("i-2", None), (None, "Q9")], "person_id string, wiki_id string")
     given = [("i-1", "i-1"), ("  i-1 \n", "i-1"), ("Q1", "i-1"), ("\tQ1 ", "i-1"), ("I-1", "I-1"), ("Q9", "Q9"), ("UnKnown ", None), ("　", None), ("", None), (None, None), ("i 1", "i 1")]
