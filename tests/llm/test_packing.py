@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -74,3 +75,30 @@ def test_containers(documents, budgets, items_a_shard):
 
 def test_empty(documents, budgets):
     assert packing.containers(documents.limit(0), budgets).count() == 0 and packing.containers(documents, budgets.limit(0)).count() == 0
+
+
+def test_two_for_one_with_many_items():
+    """A bin of forty items gives two of them for one; the search once left such bins out."""
+    sizes = [90, 10] + [97] + [1] * 40
+    bins = packing.local_search([[0], [2], list(range(3, 43)), [1]], sizes, 100)
+    fills = sorted(sum(sizes[i] for i in b) for b in bins)
+    assert sum(fills) == sum(sizes) and max(fills) <= 100 and len(bins) == math.ceil(sum(sizes) / 100)
+
+
+def test_search_grows_with_the_items():
+    rng = np.random.default_rng(3)
+    took = []
+    for n in (4000, 16000):
+        sizes = rng.integers(60, 201, n)
+        start = time.perf_counter()
+        bins = packing.pack(sizes, 512).max() + 1
+        took.append(time.perf_counter() - start)
+        assert bins <= math.ceil(sizes.sum() / 512) * 1.015
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_many_capacities(spark):
+    docs = spark.createDataFrame([(i, "ord " * i) for i in range(5)], "doc_id long, text string")
+    budgets = spark.createDataFrame([(i, i + 1) for i in range(450)], "budget_id int, capacity_tokens int")
+    got = packing.containers(docs, budgets).groupBy("budget_id").agg({"doc_id": "count"}).count()
+    assert got == 450
