@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenumspark.session import spread
+from plenumspark.session import checkpointed, spread
 
 #: Item words on end that make a leak, and item words for each one that may be misspelled, left out or put in.
 WINDOW, WORDS_AN_ERROR = 10, 8
@@ -27,23 +26,34 @@ SHINGLE = 3
 INTACT, TOGETHER, MISS = WINDOW + 2 - SHINGLE + 1 - 2 * SHINGLE, 2, 1e-6
 #: A document's shingles are cut into chunks of this many; a block is two neighbours, so every window lies in one.
 CHUNK = WINDOW
-#: Size classes of blocks (most shingles): small blocks need fewer hash functions for the same recall.
+#: Size classes of blocks by the most item shingles in them: small blocks need fewer hash functions for the same recall.
 CLASSES = (WINDOW, 2 * CHUNK)
-#: Items, and characters of items, searched for at once; more are searched for in several passes.
-ITEMS_A_PASS, CHARACTERS_A_PASS = 5000, 10_000_000
+#: Item pieces, and characters of them, searched for at once; more are searched for in several passes.
+ITEMS_A_PASS, CHARACTERS_A_PASS = 5000, 2_000_000
+#: Words of a piece of a long item, and words that neighbouring pieces share: more than a passage and its errors can span.
+PIECE, SHARED = 2000, 4 * WINDOW
 
 _BROKEN = re.compile(r"[-‐‑­¬]\s*")
 _WORD = re.compile(r"[^\W_]+")
-#: All combining marks of Unicode.
-_MARKS = re.compile("[" + "".join(map(re.escape, (chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))))) + "]+")
+
+
+class _Plain(dict):
+    """Characters to their compatibility decomposition without combining marks; filled as they are met."""
+
+    def __missing__(self, code: int) -> str:
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        self[code] = plain
+        return plain
+
+
+_PLAIN = _Plain()
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text without case, punctuation, accents and breaks at hyphens."""
     text = _BROKEN.sub("", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = _MARKS.sub("", text)
+        text = text.translate(_PLAIN)
     return _WORD.findall(text.casefold())
 
 
@@ -60,7 +70,6 @@ _N = max(hash_functions(c) for c in CLASSES)
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(1, 2**63, _N, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RNG.integers(0, 2**63, _N, dtype=np.uint64)
-_EMPTY = np.uint64(2**64 - 1)
 
 
 def _permuted(h: np.ndarray, k: int) -> np.ndarray:
@@ -96,85 +105,145 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... n[0] of them, then those from begin[1] on."""
+    total = int(n.sum())
+    return np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total) if total else np.zeros(0, dtype=np.int64)
+
+
 class ItemIndex:
     """MinHash values of every window of every item, by hash function, and the items' words for verification."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         hasher = _Hasher()
+        self.ids: list[int] = []
         self.words: dict[int, list[str]] = {}
         self.pairs: dict[int, dict[int, list[int]]] = {}
         values: list[list[np.ndarray]] = [[] for _ in range(_N)]
         owners: list[np.ndarray] = []
+        known: list[np.ndarray] = []
         for item, text in items:
             w = words_of(text or "")
             if len(w) < WINDOW:
                 continue
-            self.words[item] = w
             s = shingles(hasher(w))
             at: dict[int, list[int]] = defaultdict(list)
             for i, x in enumerate(s.tolist()):
                 at[x].append(i)
-            self.pairs[item] = dict(at)
             view = np.lib.stride_tricks.sliding_window_view(s, WINDOW - SHINGLE + 1)
-            owners.append(np.full(len(view), item, dtype=np.int64))
+            owners.append(np.full(len(view), len(self.ids), dtype=np.int64))
+            known.append(s)
+            self.ids.append(item)
+            self.words[item] = w
+            self.pairs[item] = dict(at)
             for k in range(_N):
                 values[k].append(_permuted(view, k).min(axis=1))
         own = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
-        self.values, self.owners, self.sieve = [], [], []
+        self.values, self.owners = [], []
         for k in range(_N):
             v = np.concatenate(values[k]) if owners else np.zeros(0, dtype=np.uint64)
             pairs = np.unique(np.rec.fromarrays([v, own], names="v,o")) if len(v) else None
             self.values.append(pairs["v"].copy() if pairs is not None else v)
             self.owners.append(pairs["o"].copy() if pairs is not None else own)
-            sieve = np.zeros(1 << 18, dtype=bool)
-            sieve[(v & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-            self.sieve.append(sieve)
+            values[k] = []
+        self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, dtype=np.uint64)
+        # Where each known shingle occurs: (shingle, item) as one number, and the place in the item.
+        where = [np.searchsorted(self.known, x) * len(self.ids) + o for o, x in enumerate(known)]
+        occurs, places = (np.concatenate(where), np.concatenate([np.arange(len(x)) for x in known])) if known else (np.zeros(0, dtype=np.int64),) * 2
+        order = np.argsort(occurs, kind="stable")
+        self.occurs, self.places = occurs[order], places[order]
+        # At most one in sixteen other shingles passes the sieve; the look-up among the known ones is exact.
+        bits = max(18, int(len(self.known) * 16 - 1).bit_length()) if len(self.known) else 18
+        self.mask = np.uint64((1 << bits) - 1)
+        self.sieve = np.zeros(1 << bits, dtype=bool)
+        self.sieve[(self.known & self.mask).astype(np.int64)] = True
 
     def candidates(self, s: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
         """(document, chunk, item) of the blocks that share a MinHash value with an item's window.
 
         `s` are the shingles of many documents on end; document d has those from starts[d] to starts[d + 1].
+        Only shingles of items are hashed: no other can be the least of a window, and leaving them out makes a
+        block smaller. A block with fewer than INTACT of them can't be verified and is left out before.
         """
-        found: set[tuple[int, int, int]] = set()
+        if not len(s) or not len(self.known):
+            return []
+        at = np.nonzero(self.sieve[(s & self.mask).astype(np.int64)])[0]
+        x = s[at]
+        place = np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)
+        kept = self.known[place] == x
+        at, x = at[kept], x[kept]
+        if len(at) < INTACT:
+            return []
         lengths = np.diff(starts)
         chunks = -(-lengths // CHUNK)
+        first = np.concatenate([[0], np.cumsum(chunks)])
+        doc = np.searchsorted(starts, at, "right") - 1
+        chunk = first[doc] + (at - starts[doc]) // CHUNK
+        # The item shingles lie in order of their chunks: chunk c has those from edge[c] to edge[c + 1].
+        edge = np.searchsorted(chunk, np.arange(first[-1] + 1))
         owner = np.repeat(np.arange(len(lengths)), chunks)
-        first = np.concatenate([[0], np.cumsum(chunks)])[:-1]
-        number = np.arange(len(owner)) - first[owner]
-        begin = starts[:-1][owner] + number * CHUNK
-        if not len(begin) or not len(self.values[0]):
-            return []
         follows = np.append(owner[1:] == owner[:-1], False)
-        # A block is a chunk with the next one. One that is the second half of another block is in its class.
-        small = ~follows & (number == 0)
-        for k in range(_N):
-            m = np.minimum.reduceat(_permuted(s, k), begin)
-            m = np.where(follows, np.minimum(m, np.append(m[1:], _EMPTY)), m)
-            if k >= hash_functions(CLASSES[0]):
-                m = np.where(small, _EMPTY, m)
-            hit = np.nonzero(self.sieve[k][(m & np.uint64((1 << 18) - 1)).astype(np.int64)])[0]
-            if not len(hit):
+        number = np.arange(len(owner)) - first[owner]
+        # A block is a chunk with the next one; a last chunk is the second half of the block before.
+        lo, hi = edge[:-1], np.where(follows, edge[np.minimum(np.arange(len(owner)) + 2, len(edge) - 1)], edge[1:])
+        size = hi - lo
+        blocks = np.nonzero((size >= INTACT) & (follows | (number == 0)))[0]
+        n_items = len(self.ids)
+        found = []
+        least = 0
+        for most in CLASSES:
+            mine = blocks[(size[blocks] > least) & (size[blocks] <= most)]
+            least = most
+            if not len(mine):
                 continue
-            v = self.values[k]
-            lo, hi = np.searchsorted(v, m[hit], "left"), np.searchsorted(v, m[hit], "right")
-            for b, x, y in zip(hit[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                d, c = int(owner[b]), int(number[b])
-                found.update((d, c, o) for o in self.owners[k][x:y].tolist())
-        return list(found)
+            n = size[mine]
+            begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+            flat = x[np.repeat(lo[mine] - begin, n) + np.arange(n.sum())]
+            for k in range(hash_functions(most)):
+                m = np.minimum.reduceat(_permuted(flat, k), begin)
+                left = np.searchsorted(self.values[k], m, "left")
+                n_hit = np.searchsorted(self.values[k], m, "right") - left
+                found.append(np.repeat(mine, n_hit) * n_items + self.owners[k][_ranges(left, n_hit)])
+            if len(found) > 200:
+                found = [np.unique(np.concatenate(found))]
+        if not found:
+            return []
+        block, item = np.divmod(np.unique(np.concatenate(found)), n_items)
+        held = self._along_diagonals(block, item, lo, size, place[kept], at - starts[doc])
+        return list(zip(owner[block[held]].tolist(), number[block[held]].tolist(), [self.ids[o] for o in item[held].tolist()]))
+
+    def _along_diagonals(self, block: np.ndarray, item: np.ndarray, lo: np.ndarray, size: np.ndarray, known: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The candidates with INTACT equal shingles whose places in document and item keep their distance within six.
+
+        The errors of a passage shift it by two at most, so each lies in a stretch of one of two gratings.
+        """
+        held = []
+        # As many candidates at a time as keep the arrays small.
+        for a in range(0, len(block), 50_000):
+            b, o = block[a : a + 50_000], item[a : a + 50_000]
+            n = size[b]
+            candidate = np.repeat(np.arange(len(b)), n)
+            flat = _ranges(lo[b], n)
+            key = known[flat] * len(self.ids) + o[candidate]
+            left = np.searchsorted(self.occurs, key, "left")
+            n_hit = np.searchsorted(self.occurs, key, "right") - left
+            distance = self.places[_ranges(left, n_hit)] - np.repeat(at[flat], n_hit)
+            owner = np.repeat(candidate, n_hit).astype(np.int64)
+            ok = np.zeros(len(b), dtype=bool)
+            for shift in (0, 3):
+                cell, times = np.unique(owner * (1 << 40) + (distance + shift + (1 << 38)) // 6, return_counts=True)
+                ok[cell[times >= INTACT] >> 40] = True
+            held.append(np.nonzero(ok)[0] + a)
+        return np.concatenate(held) if held else np.zeros(0, dtype=np.int64)
 
     def contained(self, item: int, s: list[int]) -> tuple[int, int] | None:
-        """Exact shingle containment: the item positions around a passage of which at least INTACT shingles are in the block; None if there is none."""
+        """Exact shingle containment: the item positions around passages of which at least INTACT shingles are in the block, in step but for two errors; None if there is none."""
         pairs = self.pairs[item]
-        at = sorted({i for x in s for i in pairs.get(x, ())})
-        if len(at) < INTACT:
-            return None
-        lo = 0
+        matches = [(j - i, j) for i, x in enumerate(s) for j in pairs.get(x, ())]
         spans = []
-        for hi in range(len(at)):
-            while at[hi] - at[lo] > WINDOW + 3:
-                lo += 1
-            if hi - lo + 1 >= INTACT:
-                spans.append((at[lo], at[hi]))
+        for d in {d for d, _ in matches}:
+            at = sorted({j for e, j in matches if 0 <= e - d <= 2})
+            spans += [(at[k], at[k + INTACT - 1]) for k in range(len(at) - INTACT + 1) if at[k + INTACT - 1] - at[k] <= WINDOW + 3]
         return (min(a for a, _ in spans), max(b for _, b in spans)) if spans else None
 
 
@@ -184,6 +253,18 @@ def _close(a: str, b: str) -> bool:
     most = 1 if min(len(a), len(b)) < 8 else 2
     if abs(len(a) - len(b)) > most:
         return False
+    # What both begin and end with does not matter.
+    k, n = 0, min(len(a), len(b))
+    while k < n and a[k] == b[k]:
+        k += 1
+    e = 0
+    while e < n - k and a[-1 - e] == b[-1 - e]:
+        e += 1
+    a, b = a[k : len(a) - e], b[k : len(b) - e]
+    if len(a) <= 1 and len(b) <= 1:
+        return True
+    if most == 1:
+        return len(a) == 2 == len(b) and a == b[::-1]
     previous = list(range(len(b) + 1))
     before: list[int] = []
     for i, x in enumerate(a, 1):
@@ -249,9 +330,21 @@ def holds_passage(doc: list[str], item: list[str]) -> bool:
     return False
 
 
+#: The last index built in this Python worker, by the fingerprint of its items: tasks of one pass share it.
+_index: dict[str, ItemIndex] = {}
+
+
+def _index_of(shared) -> ItemIndex:
+    mark, pieces = shared.value
+    if mark not in _index:
+        _index.clear()
+        _index[mark] = ItemIndex([(k, text) for k, (_, text) in enumerate(pieces)])
+    return _index[mark]
+
+
 def _search(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
-    items = [tuple(x) for x in shared.value]
-    index = ItemIndex(items)
+    index = _index_of(shared)
+    item_of = [item for item, _ in shared.value[1]]
     hasher = _Hasher()
     margin = CHUNK + 4
 
@@ -270,8 +363,9 @@ def _search(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
                 if span is None:
                     continue
                 part = index.words[o][max(0, span[0] - margin) : span[1] + SHINGLE + margin]
-                if holds_passage(words[d][max(0, a - margin) : a + 2 * CHUNK + SHINGLE - 1 + margin], part):
-                    out.append((ids[d], o))
+                here = words[d][max(0, a - margin) : a + 2 * CHUNK + SHINGLE - 1 + margin]
+                if holds_passage(here, part):
+                    out.append((ids[d], item_of[o]))
                     break
         return out
 
@@ -294,25 +388,38 @@ def _search(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
 
 
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for item, text in zip(pdf["item_id"].tolist(), pdf["text"]):
+            w = words_of(text)
+            for a in range(0, max(1, len(w) - SHARED), PIECE - SHARED):
+                out.append((item, " ".join(w[a : a + PIECE])))
+        yield pd.DataFrame(out, columns=["item_id", "text"])
+
+
 def leaks(documents: DataFrame, items: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
     """(doc_id, item_id): documents that hold at least ten words of an item on end, in order.
 
     Items are the short side of the containment search: the MinHash values of their windows are sent to
-    every task, at most about `items_a_pass` items and CHARACTERS_A_PASS characters at a time; more items take more passes over the documents,
-    so no item is dropped and the broadcast stays bounded. Blocks of documents are put into size classes,
-    each with as many hash functions as its recall needs. What shares a value is verified by exact shingle
-    containment and an alignment. No shuffle but the final distinct.
+    every task, about `items_a_pass` pieces of items and CHARACTERS_A_PASS characters at a time; more take more
+    passes over the documents, so no item is dropped and the broadcast stays bounded. A long item is searched
+    for in overlapping pieces. Blocks of documents are put into size classes by their item shingles, each with as
+    many hash functions as its recall needs. What shares a value is verified by exact shingle containment and
+    an alignment. No shuffle but the final distinct.
 
     Items of fewer than ten words and null or blank texts lead to no case. Repeated rows count once.
     """
     spark = documents.sparkSession
     docs = spread(documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"))
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
+    rows = checkpointed(rows.mapInPandas(_pieces, "item_id long, text string").distinct())
     n, characters = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     passes = max(1, math.ceil(n / items_a_pass), math.ceil(characters / CHARACTERS_A_PASS))
     parts = []
     for k in range(passes):
         block = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.collect()])
+        found = sorted((r["item_id"], r["text"]) for r in block.collect())
+        shared = spark.sparkContext.broadcast((xxhash.xxh128_hexdigest(repr(found)), found))
         parts.append(docs.mapInPandas(lambda it, shared=shared: _search(it, shared), "doc_id long, item_id long"))
     return reduce(DataFrame.unionByName, parts).distinct()

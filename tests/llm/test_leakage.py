@@ -159,3 +159,43 @@ def test_two_errors_at_any_inner_places(spark):
     d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
     i = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     assert sorted(r["doc_id"] for r in leakage.leaks(d, i).collect()) == list(range(len(docs)))
+
+
+def test_misspelled_words():
+    """Against the whole table of distances, with swapped neighbours as one error."""
+
+    def distance(a, b):
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(2)
+    close = 0
+    for _ in range(3000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 11)))
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "a", "b"])
+            if rng.random() < 0.3 and len(b) > 1:
+                k = rng.randrange(len(b) - 1)
+                b[k], b[k + 1] = b[k + 1], b[k]
+        b = "".join(b)
+        want = distance(a, b) <= (1 if min(len(a), len(b)) < 8 else 2)
+        close += want
+        assert leakage._close(a, b) == want, (a, b)
+    assert 500 < close < 2900
+
+
+def test_long_item_in_pieces(spark):
+    rng = random.Random(5)
+    words = [f"ord{rng.randrange(10**6)}" for _ in range(9000)]
+    places = [0, 1950, 1990, 3930, 8980]
+    docs = spark.createDataFrame([(i, "annat " * 20 + " ".join(words[p : p + 11])) for i, p in enumerate(places)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "kort")], "item_id long, text string")
+    assert sorted((r[0], r[1]) for r in leakage.leaks(docs, items).collect()) == [(i, 1) for i in range(len(places))]
+    assert leakage.leaks(docs, items, items_a_pass=1).count() == len(places)
