@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -106,3 +107,38 @@ def test_table(spark):
     df = spark.createDataFrame([(1, "Ja. Nej."), (2, None), (3, ""), (None, "Ja."), (4, "Ett\n\nTvå")], "doc_id long, text string").selectExpr("*", "1 AS sent_no", "2 AS start_char")
     assert sorted(map(tuple, S.sentences(df).collect())) == [(1, 1, 0, 3), (1, 2, 4, 8), (4, 1, 0, 3), (4, 2, 5, 8)]
     assert S.sentences(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["A. Berg ", "12. Alfa ", '"Nej. Ja. ', "Hr. Ek "])
+def test_registers_are_split_in_one_pass(unit):
+    start = time.perf_counter()
+    spans = S.sentence_spans(unit * 4000)
+    assert spans and time.perf_counter() - start < 5
+
+
+def test_path_is_the_best_with_anchors_and_quotations():
+    rng = random.Random(21)
+    parts = ["3. Om kl. 12 var han där.", '"Ja. Nej."', "“Hej! Hur är det?” sade hon.", "A. Berg kom.", "§ 4. Det är så.", "(Han gick. Hon kom.)", "enl. prop. 12.", "II. Del", "m. fl. var här.", "»Vad? Nu!» Sedan"]
+    for _ in range(150):
+        p = " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))
+        if len(S._candidates(p)) <= 12:
+            assert S._best_path(p) == brute_path(p), p
+
+
+def test_titles_and_unmarked_statements():
+    assert split("El Sr. García vino. La Sra. López no.") == ["El Sr. García vino.", "La Sra. López no."]
+    assert split("วันนี้เราประชุมกันที่สภา เขาเสนอกฎหมายฉบับใหม่ สมาชิกทุกคนเห็นชอบด้วย") == ["วันนี้เราประชุมกันที่สภา", "เขาเสนอกฎหมายฉบับใหม่", "สมาชิกทุกคนเห็นชอบด้วย"]
+
+
+def test_far_look_back():
+    """A word before a number, a number and a reporting clause count however far the white space or the verb is."""
+    assert split("Det följer av paragraf" + " " * 60 + "12. Sedan kom han.") == ["Det följer av paragraf" + " " * 60 + "12.", "Sedan kom han."]
+    long = "han som " + "mycket " * 20
+    assert split(f"”Ja.” {long}sade nej.".replace("”Ja", "“Ja")) == [f"“Ja.” {long}sade nej."]
+
+
+def test_learned_abbreviations(spark):
+    rows = [(i, f"Det sker enl. {'ny' if i % 4 else 'Ny'} plan. Nu är det slut. Sedan gick vi.") for i in range(40)]
+    got = S.learned_abbreviations(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(got) == {"enl"} and got["enl"] < 0
+    assert S.sentence_spans("Så enl. Ny plan.", got) == [(0, 16)] and len(S.sentence_spans("Så xxl. Ny plan.", got)) == 2
