@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import lru_cache
+from types import MappingProxyType
 from typing import NamedTuple
 
 import pandas as pd
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plenumspark.session import checkpointed, spread
+from plenumspark.session import bounded_broadcast, checkpointed, spread
 
 # Words of running headers, and what page recognition makes of characters (read: printed).
 WEEKDAYS = "måndagen tisdagen onsdagen torsdagen fredagen lördagen söndagen".split()
@@ -31,6 +34,8 @@ _SINGLE = str.maketrans({"c": "e", "u": "n", "ſ": "f", "q": "g", "å": "a", "ä
 HYPHENS = "-‐\xad¬"
 #: A frequent word makes up at least this share of all words, so there are at most 1 / SHARE of them.
 SHARE = 1e-5
+#: Rows of keys and fixes that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 #: A word is misread if one it can be mixed up with is so many times as frequent.
 RATIO = 8
 
@@ -47,8 +52,9 @@ _START = (0.0, -1.0, -1.0, -0.5)
 
 _D = r"[\dlIOoSg]"
 _NUMBER_LINE = re.compile(rf"(?:[-–—] ?{_D}{{1,4}} ?[-–—]|\[{_D}{{1,4}}\]|{_D}{{1,3}}\.?|\d(?: \d){{1,3}}|{_D}{{1,4}} ?\*|[Ss][il1]d\.? ?{_D}{{1,4}}\.?)\Z")
+_NUMBER_START = re.compile(r"[-–—\[\dlIOoSgs]")
 _WORD = re.compile(r"[^\W_]+(?:&[^\W_]+)*")
-_MARKS = r"\[[^\]\n]{0,40}\]|\{[^}\n]{0,40}\}|<[^>\n]{0,40}>|\(\([^)\n]{0,40}\)\)|\([^)\n]{0,40}\)|\*\w+\*|– \w+ –|\d\d:\d\d:\d\d|\dh\d\dm\d\ds|(?:[eöä]+h+m*|h+m+|m{2,})(?!\w),?"
+_MARKS = r"\[[^\[\]\n]*\]|\{[^{}\n]*\}|<[^<>\n]*>|\(\([^()\n]*\)\)|\([^()\n]*\)|\*\w+\*|– \w+ –|\d\d:\d\d:\d\d|\dh\d\dm\d\ds|(?:[eöä]+h+m*|h+m+|m{2,})(?!\w),?"
 _TRAILING = re.compile(rf"(?:\s+(?:{_MARKS}))+\s*\Z", re.I)
 _LEADING = re.compile(rf"\s*(?:(?:{_MARKS})\s*)*", re.I)
 _BREAK_END = re.compile(rf"[^\W_]([{HYPHENS}])\s*\Z")
@@ -60,6 +66,7 @@ _YEAR = re.compile(r"(?=.*\d)(?=.*[^\d])[1lIi2Z][\dlIioOSsgqBZ]{3}\Z")
 _DIGITS = str.maketrans("OolIiZSsBgq", "00111255899")
 
 
+@lru_cache(maxsize=1 << 16)
 def skeleton(word: str) -> str:
     """The word with all characters that are mixed up with each other made one."""
     return _PAIRS.sub(lambda m: _PAIR_TO[m.group()], word.lower().replace("u", "n")).translate(_SINGLE).replace("tl", "d")
@@ -128,27 +135,50 @@ def header_score(line: str) -> float:
     return _NEVER
 
 
-def label_lines(lines: list[str]) -> list[int]:
+_ENDS = ".,;:?!…”\"" + HYPHENS
+_FINISHED = ".?!”…"
+_DIGIT = re.compile(r"\d+")
+#: A layout key is learned from so many lines at least, and from this share of all of them, so there are at most 1 / SHARE.
+LEAST_LINES = 20
+
+
+def layout_keys(line: str) -> tuple[str, str]:
+    """What a line shares with the same header on other pages: its words with numbers made one; and its first word."""
+    words = [skeleton(w) if not w.isdigit() else "9" for w in _WORD.findall(_DIGIT.sub("9", line))]
+    return "\0L" + " ".join(words), "\0F" + (words[0] if words else "")
+
+
+def _stands_out(s: str, width: int) -> bool:
+    """Whether a line by its form alone may be a header: short for the page, opened by a capital or number, and not closed as a sentence is."""
+    return len(s) < 0.8 * width and (s[0].isupper() or s[0].isdigit()) and s[-1] not in _ENDS
+
+
+def label_lines(lines: list[str], learned: Mapping[str, float] = MappingProxyType({})) -> list[int]:
     """The kind of each line (BODY, HEADER, NUMBER, BREAK): Viterbi's path of a hidden Markov model.
 
-    Emissions are log odds of layout features against body text: header words, number shapes, length
-    against the page's width, the line's ends and its neighbours. Lines without a furniture feature
-    can only be body or break, so a page without any is labelled at once.
+    Emissions are log odds of layout features against body text: what other pages show of lines like it
+    (`learned`, by `layout_keys`), header words, number shapes, length against the page's width, the line's
+    ends and its neighbours. Lines without a furniture feature can only be body or break, so a page without
+    any is labelled at once.
     """
     n = len(lines)
     stripped = [x.strip() for x in lines]
-    number = [0.0] * n
-    header = [0.0] * n
+    number = [_NEVER] * n
+    header = [_NEVER] * n
     any_ = False
+    widest = max(map(len, stripped))
     for i, s in enumerate(stripped):
-        number[i] = header[i] = _NEVER
-        if s and len(s) < 52:
-            if len(s) < 12 and _NUMBER_LINE.match(s):
+        if s:
+            if _NUMBER_START.match(s) and _NUMBER_LINE.match(s):
                 number[i] = 5.0
                 any_ = True
-            elif s[0] in "NAOFKSMTL0nao1f":
+                continue
+            first = _WORD.search(s)
+            if first and skeleton(first.group()) in _FIRST:
                 header[i] = header_score(s)
-                any_ = any_ or header[i] > _NEVER
+            if learned and _stands_out(s, widest):
+                header[i] = max(header[i], *(learned.get(k, _NEVER) for k in layout_keys(s)))
+            any_ = any_ or header[i] > _NEVER
     if not any_:
         return [BODY if s else BREAK for s in stripped]
     width = max(map(len, stripped))
@@ -201,11 +231,11 @@ class Page(NamedTuple):
     joined: list[tuple[str, int, int, int]]
 
 
-def parse_page(data: str) -> Page:
+def parse_page(data: str, learned: Mapping[str, float] = MappingProxyType({})) -> Page:
     lines = data.split("\n")
+    kinds = label_lines(lines, learned)
     if len(lines) == 1:
-        return Page(lines, [BODY if data.strip() else BREAK], [], [(0, _WORD.findall(data))], [])
-    kinds = label_lines(lines)
+        return Page(lines, kinds, [], [(0, _WORD.findall(data))] if kinds == [BODY] else [], [])
     body = [i for i, k in enumerate(kinds) if k == BODY]
     words: list[tuple[int, list[str]]] = []
     joined: list[tuple[str, int, int, int]] = []
@@ -242,8 +272,25 @@ def parse_page(data: str) -> Page:
     return Page(lines, kinds, split, words, joined)
 
 
+def _layout(page: Page) -> Iterator[tuple[str, bool]]:
+    """Of the lines that stand out: their layout keys, and whether they part a sentence that goes on, or stand beside a page number."""
+    stripped = [x.strip() for x in page.lines]
+    if len(stripped) < 2:
+        return
+    widest = max(map(len, stripped))
+    for i, s in enumerate(stripped):
+        if s and page.kinds[i] in (BODY, HEADER) and _stands_out(s, widest):
+            before = next((k for k in range(i - 1, -1, -1) if page.kinds[k] == BODY), None)
+            after = next((k for k in range(i + 1, len(stripped)) if page.kinds[k] == BODY), None)
+            parts = before is not None and after is not None and stripped[before][-1] not in _FINISHED and stripped[after][0].islower()
+            beside = NUMBER in page.kinds[max(0, i - 1) : i + 2]
+            for key in layout_keys(s):
+                yield key, parts or beside
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter[str] = Counter()
+    layout: Counter[str] = Counter()
     for pdf in batches:
         for data in pdf["data"]:
             if data:
@@ -252,25 +299,49 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     counts.update(words)
                 for w in page.joined:
                     counts[w[0]] += 1
-        if len(counts) > 200_000:
-            yield _lowered(counts)
+                for key, parts in _layout(page):
+                    layout[key] += 1
+                    layout["\0P" + key] += parts
+        if len(counts) + len(layout) > 200_000:
+            yield _lowered(counts, layout)
             counts.clear()
-    yield _lowered(counts)
+            layout.clear()
+    yield _lowered(counts, layout)
 
 
-def _lowered(counts: Counter[str]) -> pd.DataFrame:
-    low: Counter[str] = Counter()
+def _lowered(counts: Counter[str], layout: Counter[str]) -> pd.DataFrame:
+    low: Counter[str] = Counter(layout)
     for w, n in counts.items():
         if not w.isdigit() and not _TIME.match(w) and not _YEAR.match(w):
             low[w.lower()] += n
     return pd.DataFrame({"word": list(low), "n": list(low.values())}, columns=["word", "n"]).astype({"n": "int64"})
 
 
-def word_counts(segments: DataFrame) -> DataFrame:
-    """(word, n): the lower-case words of all text lines, broken ones joined; combined in each task before the shuffle."""
+def page_counts(segments: DataFrame) -> DataFrame:
+    """(word, n): the lower-case words of all text lines, broken ones joined, and the layout keys of lines that stand out (with "\\0" before); combined in each task before the shuffle."""
     return segments.select("data").mapInPandas(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def word_counts(segments: DataFrame) -> DataFrame:
+    """(word, n): the words of `page_counts`."""
+    return page_counts(segments).where(~F.col("word").startswith("\0"))
+
+
+def learned_layout(counts: DataFrame) -> dict[str, float]:
+    """The log odds that a line is a header, by layout key: how often lines of that key part a sentence or stand beside a page number, over all pages.
+
+    Whole lines need half of their places to be such, first words alone four fifths. Keys of at least
+    LEAST_LINES lines and the share SHARE of all such lines reach the driver, so at most 1 / SHARE do.
+    """
+    layout = counts.where(F.col("word").startswith("\0"))
+    plain = layout.where(~F.col("word").startswith("\0P"))
+    parting = layout.where(F.col("word").startswith("\0P")).select(F.expr("substring(word, 3)").alias("word"), F.col("n").alias("k"))
+    total = plain.agg(F.sum("n")).first()[0] or 0
+    needed = F.when(F.col("word").startswith("\0L"), 0.5).otherwise(0.8)
+    rows = plain.where(F.col("n") >= max(LEAST_LINES, total * SHARE)).join(parting, "word").where(F.col("k") >= F.col("n") * needed).collect()
+    return {r["word"]: min(8.0, 3.0 + math.log((r["k"] + 1) / (r["n"] - r["k"] + 1))) for r in sorted(rows)}
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _skeletons(words: pd.Series) -> pd.Series:
     return words.map(skeletons)
@@ -295,12 +366,14 @@ def _ruled(words: pd.Series) -> pd.Series:
 
 
 def ruled_words(counts: DataFrame) -> DataFrame:
-    """(word, printed): words with digits in them and the most frequent word of letters alone each can be misread for, however rare."""
+    """(word, printed): words with digits in them and the most frequent word of letters alone each can be misread for, however rare; else the word without them, if the corpus has it."""
     s = counts.where(F.length("word") > 1)
-    wrong = s.where(F.col("word").rlike("[0-9]")).where(_ruled("word")).withColumn("skeleton", F.explode(_skeletons("word"))).select("word", "skeleton")
-    whole = s.where(~F.col("word").rlike("[^\\p{L}]")).withColumn("skeleton", F.explode(_skeletons("word"))).select(F.col("word").alias("printed"), F.col("n").alias("most"), "skeleton")
-    pairs = whole.join(wrong, "skeleton").withColumn("at", _marks("word", "printed")).where("at IS NOT NULL AND size(at) > 0")
-    return pairs.groupBy("word").agg(F.max_by("printed", F.struct("most", "printed")).alias("printed"))
+    wrong = s.where(F.col("word").rlike("[0-9]")).where(_ruled("word")).select("word")
+    letters = s.where(~F.col("word").rlike("[^\\p{L}]")).select(F.col("word").alias("printed"), F.col("n").alias("most"))
+    by_skeleton = letters.withColumn("skeleton", F.explode(_skeletons("printed"))).join(wrong.withColumn("skeleton", F.explode(_skeletons("word"))), "skeleton")
+    alike = by_skeleton.withColumn("at", _marks("word", "printed")).where("at IS NOT NULL AND size(at) > 0").select("word", F.struct(F.lit(1).alias("rank"), "most", "printed").alias("best"))
+    bare = letters.join(wrong.withColumn("printed", F.regexp_replace("word", "[^\\p{L}]", "")), "printed").select("word", F.struct(F.lit(0).alias("rank"), "most", "printed").alias("best"))
+    return alike.unionByName(bare).groupBy("word").agg(F.max("best").alias("best")).select("word", "best.printed")
 
 
 def _by_rule(word: str) -> list[int] | None:
@@ -317,8 +390,8 @@ def _by_rule(word: str) -> list[int] | None:
 _FOUND = T.StructType([T.StructField("u_id", T.StringType()), T.StructField("line_no", T.IntegerType()), T.StructField("defect", T.StringType()), T.StructField("word", T.StringType()), T.StructField("cut", T.IntegerType()), T.StructField("rest", T.IntegerType())])
 
 
-def _find(batches: Iterator[pd.DataFrame], frequent) -> Iterator[pd.DataFrame]:
-    known: dict[str, list[int] | None] = frequent.value
+def _find(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+    known, learned = shared.value
     verdicts: dict[str, list[int] | str] = {}
     good: set[str] = set()
 
@@ -327,7 +400,7 @@ def _find(batches: Iterator[pd.DataFrame], frequent) -> Iterator[pd.DataFrame]:
         v = verdicts.get(w)
         if v is None:
             low = w.lower()
-            v = known.get(low, "rare")
+            v = known.get(low, ("rare", None))[0]
             if v == "rare" or v is None:
                 v = _by_rule(w) or ("rare" if v == "rare" and len(low) > 1 and not w.isdigit() and not _TIME.match(w) else None)
             if v is None:
@@ -343,10 +416,9 @@ def _find(batches: Iterator[pd.DataFrame], frequent) -> Iterator[pd.DataFrame]:
         for u, data in zip(pdf["u_id"], pdf["data"]):
             if not data:
                 continue
-            page = parse_page(data)
-            if len(page.kinds) > 1:
-                out += [(u, i + 1, "furniture", None, None, None) for i, k in enumerate(page.kinds) if k == HEADER or k == NUMBER]
-                out += [(u, i + 1, "split", None, None, None) for i in page.split]
+            page = parse_page(data, learned)
+            out += [(u, i + 1, "furniture", None, None, None) for i, k in enumerate(page.kinds) if k == HEADER or k == NUMBER]
+            out += [(u, i + 1, "split", None, None, None) for i in page.split]
             glyph: set[int] = set()
             for i, words in page.words:
                 for w in words:
@@ -365,18 +437,17 @@ def _find(batches: Iterator[pd.DataFrame], frequent) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=_FOUND.names)
 
 
-def _candidates(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Defects and words too rare to know by heart, in one pass, and the misread words of the corpus."""
-    spark = segments.sparkSession
-    segments = spread(segments.select("u_id", "data"))
-    counts = checkpointed(word_counts(segments))
-    misread = misread_words(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
+def _statistics(segments: DataFrame):
+    """(counts, misread words, broadcast of frequent words with (places, printed form) and of the learned layout), of all segments in one pass."""
+    counts = checkpointed(page_counts(segments))
+    learned = learned_layout(counts)
+    words = counts.where(~F.col("word").startswith("\0"))
+    misread = checkpointed(misread_words(words))
+    total = words.agg(F.sum("n")).first()[0] or 0
     # At most 1 / SHARE words can each make up that share of the text: the broadcast is bounded.
-    frequent = counts.where(F.col("n") >= max(1.0, total * SHARE)).join(misread.select("word", "at"), "word", "left").select("word", "at").collect()
-    known = spark.sparkContext.broadcast({r["word"]: r["at"] for r in frequent})
-    found = segments.select("u_id", "data").mapInPandas(lambda it: _find(it, known), _FOUND)
-    return found, misread
+    frequent = words.where(F.col("n") >= max(1.0, total * SHARE)).join(misread.select("word", "at", "printed"), "word", "left").select("word", "at", "printed").collect()
+    known = {r["word"]: (r["at"], r["printed"]) for r in frequent}
+    return words, misread, segments.sparkSession.sparkContext.broadcast((known, learned))
 
 
 def line_defects(segments: DataFrame) -> DataFrame:
@@ -388,49 +459,94 @@ def line_defects(segments: DataFrame) -> DataFrame:
     every task, rare ones are looked up in one join. Null and blank texts have no lines to report;
     repeated rows count once; null u_id rows are reported under null.
     """
-    found, misread = _candidates(segments)
-    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("u_id", "line_no"), F.lit(997)).cast("string"))
-    keyed = found.withColumn("k", F.coalesce("word", spread))
+    segments = spread(segments.select("u_id", "data"))
+    _, misread, shared = _statistics(segments)
+    found = segments.mapInPandas(lambda it: _find(it, shared), _FOUND)
+    nothing = F.concat(F.lit("\0"), F.pmod(F.xxhash64("u_id", "line_no"), F.lit(997)).cast("string"))
+    keyed = found.withColumn("k", F.coalesce("word", nothing))
     joined = keyed.join(misread.select(F.col("word").alias("k"), "at"), "k", "left").where("defect <> 'rare' OR at IS NOT NULL")
     lines = F.when(F.col("defect") != "rare", F.array("line_no")).otherwise(F.transform("at", lambda i: F.when((F.col("rest") <= 0) | (i < F.col("cut")), F.col("line_no")).otherwise(F.col("rest"))))
     return joined.select("u_id", F.explode(lines).alias("line_no"), F.when(F.col("defect") == "rare", "glyph").otherwise(F.col("defect")).alias("defect")).distinct()
 
 
-def repair(data: str, fixes: dict[str, str], mend_years: bool = False) -> list[str]:
-    """The paragraphs of a page: furniture gone, broken words joined, misread words and, if wanted, years replaced."""
-    lines, kinds, split = parse_page(data)[:3]
-    paragraphs, current = [], ""
+def assembled(page: Page) -> list[str]:
+    """The paragraphs of a page as read: furniture gone, broken words joined."""
+    lines, kinds = page.lines, page.kinds
+    split = set(page.split)
+    paragraphs: list[str] = []
+    current: list[str] = []
     glue = False
     previous_kind = BREAK
-    scanned = len(lines) > 1
     for i, (line, kind) in enumerate(zip(lines, kinds)):
         if kind in (HEADER, NUMBER):
             previous_kind = kind
             continue
-        text = line.strip()
         if kind == BREAK:
             if not glue and current and previous_kind == BODY:
-                paragraphs.append(current)
-                current = ""
+                paragraphs.append("".join(current))
+                current = []
             continue
         previous_kind = BODY
-        broken = i in split
-        current = current + text if glue or not current else current + " " + text
-        if broken:
-            current = current.rstrip()
-            current = current[:-1] if current and current[-1] in HYPHENS else current
-        glue = broken
+        text = line.strip()
+        if current and not glue:
+            current.append(" ")
+        glue = i in split
+        current.append(text[:-1] if glue and text and text[-1] in HYPHENS else text)
     if current:
-        paragraphs.append(current)
+        paragraphs.append("".join(current))
+    return paragraphs if len(lines) == 1 else [re.sub(r"\s+", " ", p) for p in paragraphs]
 
-    def fixed(m: re.Match) -> str:
-        w = m.group()
-        to = fixes.get(w.lower())
-        if to is None:
-            return w.translate(_DIGITS) if mend_years and _YEAR.match(w) else w
-        return to.upper() if w.isupper() and len(w) > 1 else to[:1].upper() + to[1:] if w[:1].isupper() else to
 
-    return [_WORD.sub(fixed, re.sub(r"\s+", " ", p) if scanned or fixes else p) if scanned or fixes or mend_years else p for p in paragraphs]
+def _like(read: str, printed: str) -> str:
+    """The printed word in the letter case of the one read."""
+    return printed.upper() if read.isupper() and len(read) > 1 else printed[:1].upper() + printed[1:] if read[:1].isupper() else printed
+
+
+def _draft(batches: Iterator[pd.DataFrame], shared, mend_years: bool) -> Iterator[pd.DataFrame]:
+    """Paragraphs with the fixes of frequent words made, and the words only the join can tell."""
+    known, learned = shared.value
+    for pdf in batches:
+        out = []
+        for u, data in zip(pdf["u_id"], pdf["data"]):
+            for no, p in enumerate(assembled(parse_page(data, learned)), 1):
+                rare: set[str] = set()
+
+                def fixed(m: re.Match, rare: set[str] = rare) -> str:
+                    w = m.group()
+                    low = w.lower()
+                    if low in known:
+                        at, printed = known[low]
+                        if at is not None:
+                            return _like(w, printed)
+                        if w.isalpha():
+                            return w
+                    if w.isdigit() or len(w) == 1:
+                        return w
+                    if _YEAR.match(w):
+                        return w.translate(_DIGITS) if mend_years else w
+                    rare.add(low)
+                    return w
+
+                out.append((u, no, _WORD.sub(fixed, p), sorted(rare)))
+        yield pd.DataFrame(out, columns=["u_id", "paragraph_no", "text", "rare"])
+
+
+@F.pandas_udf(T.StringType())
+def _repaired(texts: pd.Series, fixes: pd.Series) -> pd.Series:
+    out = []
+    for text, pairs in zip(texts, fixes):
+        to = dict(pairs)
+        out.append(_WORD.sub(lambda m, to=to: _like(m.group(), to[low]) if (low := m.group().lower()) in to else m.group(), text))
+    return pd.Series(out)
+
+
+def _once(segments: DataFrame) -> DataFrame:
+    """The segments without repeated rows. Only keys and fingerprints of the texts are shuffled; the texts of repeated keys alone are compared."""
+    keyed = segments.withColumn("mark", F.xxhash64("data"))
+    again = checkpointed(keyed.groupBy("u_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("u_id", "mark"))
+    again = bounded_broadcast(again, MOST_BROADCAST)
+    single = keyed.join(again, ["u_id", "mark"], "left_anti").select("u_id", "data")
+    return single.unionByName(keyed.join(again, ["u_id", "mark"], "left_semi").select("u_id", "data").distinct())
 
 
 def paragraphs(segments: DataFrame, mend_years: bool = False) -> DataFrame:
@@ -438,31 +554,21 @@ def paragraphs(segments: DataFrame, mend_years: bool = False) -> DataFrame:
 
     Misread words get the printed form they are mixed up with; a word with digits in it, if none is so
     much more frequent, the most frequent one of letters. It stays as read only where the corpus has none,
-    as an o can't be told from an ö then. Letters in years become digits with `mend_years`. A segment's
-    fixes are found in the join on rare words and reach it by u_id.
+    as an o can't be told from an ö then. Letters in years become digits with `mend_years`.
+
+    Texts are parsed once to count and once to repair. Frequent words are repaired then and there; paragraphs
+    with rare misread words get these from a join by paragraph, and whole texts are not shuffled while such
+    paragraphs are no more than MOST_BROADCAST. Null u_id and data are left out; repeated rows count once; a
+    u_id with several texts has the paragraphs of each.
     """
-    segments = segments.select("u_id", "data").where("u_id IS NOT NULL AND data IS NOT NULL").distinct()
-    counts = checkpointed(word_counts(segments))
-    misread = misread_words(counts).select("word", "printed")
-    misread = checkpointed(misread.unionByName(ruled_words(counts).join(misread, "word", "left_anti")))
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = set()
-            for u, d in zip(pdf["u_id"], pdf["data"]):
-                page = parse_page(d)
-                rows |= {(u, w.lower()) for _, words in page.words for w in words if len(w) > 1 and not w.isdigit()}
-                rows |= {(u, w[0].lower()) for w in page.joined}
-            yield pd.DataFrame(list(rows), columns=["u_id", "word"])
-
-    suspects = misread.select("word")
-    fixes = segments.mapInPandas(words, "u_id string, word string").join(suspects, "word", "left_semi").join(misread, "word").groupBy("u_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "printed"))).alias("fixes"))
-
-    def repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for u, d, f in zip(pdf["u_id"], pdf["data"], pdf["fixes"]):
-                out += [(u, n, p) for n, p in enumerate(repair(d, dict(f) if f is not None else {}, mend_years), 1)]
-            yield pd.DataFrame(out, columns=["u_id", "paragraph_no", "text"])
-
-    return segments.join(fixes, "u_id", "left").mapInPandas(repaired, "u_id string, paragraph_no int, text string")
+    segments = spread(segments.select("u_id", "data").where("u_id IS NOT NULL AND data IS NOT NULL"))
+    words, misread, shared = _statistics(segments)
+    fixable = misread.select("word", "printed")
+    fixable = fixable.unionByName(ruled_words(words).join(fixable, "word", "left_anti"))
+    drafts = checkpointed(_once(segments).mapInPandas(lambda it: _draft(it, shared, mend_years), "u_id string, paragraph_no int, text string, rare array<string>").withColumn("mark", F.xxhash64("text")))
+    at = ["u_id", "paragraph_no", "mark"]
+    rare = drafts.select(*at, F.explode("rare").alias("word")).join(fixable, "word")
+    fixes = checkpointed(rare.groupBy(*at).agg(F.map_from_entries(F.collect_set(F.struct("word", "printed"))).alias("fixes")))
+    fixes = bounded_broadcast(fixes, MOST_BROADCAST)
+    whole = drafts.join(fixes.select(*at), at, "left_anti").select("u_id", "paragraph_no", "text")
+    return whole.unionByName(drafts.join(fixes, at).select("u_id", "paragraph_no", _repaired("text", "fixes").alias("text")))

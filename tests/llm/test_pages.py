@@ -97,3 +97,45 @@ def test_paragraphs_query_mends_years_and_words_with_digits(spark, segments, tmp
         ("e", 1): "riksdagen år 1905 vattenstyrelsen här", ("e", 2): "Nästa stycke 1905.", ("y", 1): "åren 1942, 1989, 2015 och 1928",
         ("z", 1): "mötet i Ljusdal Ljusdal 18. x1zq", ("v", 1): "1942 2bis 4g",
     }
+
+
+HEADERS = ["Riksdagens protokoll {}/88:12", "Wednesday {} March 1987", "Séance du {} mai"]
+
+
+def test_headers_of_any_wording_are_learned_from_other_pages(spark):
+    """No list knows these headers; that they part sentences on many pages shows them. A short line that closes sentences, as often repeated, stays."""
+    rng = random.Random(4)
+    sentence = lambda: " ".join(rng.choice(WORDS) for _ in range(7))
+    rows = [(f"p{i}", f"Herr talman\n{sentence()} och\n{HEADERS[i % 3].format(i)}\n{sentence()}.\n\nHerr talman\n{sentence()}.") for i in range(90)]
+    df = spark.createDataFrame(rows, "u_id string, data string")
+    got = {(r["u_id"], r["line_no"]) for r in pages.line_defects(df).where("defect = 'furniture'").collect()}
+    assert got == {(u, 3) for u, _ in rows}
+    texts = [r["text"] for r in pages.paragraphs(df).collect()]
+    assert not any("protokoll" in t or "March" in t or "Séance" in t for t in texts) and sum(t.startswith("Herr talman ") for t in texts) == 180
+
+
+def test_long_and_single_line_furniture():
+    long = "Ang. " + "arbetsmarknadspolitiska" * 4 + " (forts.)"
+    assert kinds(f"Detta är en rad\n{long}\nsom går vidare.") == [BODY, HEADER, BODY]
+    assert kinds("Andra kammaren protokoll 1948. Nr 1") == [HEADER] and kinds("12 *") == [BODY]
+
+
+def test_long_marks_beside_a_break():
+    mark = "[" + "sorl från läktaren " * 5 + "]"
+    assert pages.parse_page(f"en skogsförord- {mark}\nningen här").split == [0]
+
+
+def test_paragraphs_are_whole_and_repaired(spark):
+    """Planted errors in known texts: the paragraphs must be the texts again."""
+    rng = random.Random(8)
+    truth, rows = {}, []
+    for i in range(60):
+        words = [rng.choice(WORDS) for _ in range(24)]
+        truth[f"q{i}"] = " ".join(words) + " år 1912 regering."
+        spoilt = [w.replace("m", "rn", 1) if w == "miljoner" and k == 3 else w for k, w in enumerate(words)]
+        lines = [" ".join(spoilt[k : k + 6]) for k in range(0, 24, 6)]
+        lines[1:1] = ["– 12 –"]
+        last = "år 19l2 rege8ring." if i == 7 else "år 1912 rege-\nring." if i % 2 else "år 1912 regering."
+        rows.append((f"q{i}", "\n".join(lines + [last])))
+    got = {r["u_id"]: r["text"] for r in pages.paragraphs(spark.createDataFrame(rows + rows[:5], "u_id string, data string"), mend_years=True).collect()}
+    assert got == truth
