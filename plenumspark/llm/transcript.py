@@ -15,9 +15,10 @@ NOBODY = "någon en röst flera ledamöter ropet från läktaren ledamot på bä
 _CLOSE = {"(": ")", "[": "]", "{": "}", "<": ">"}
 _TIME = r"(?:kl\.?\s*)?\d{1,2}[:.]\d{2}(?:[:.]\d{2})?|t=\d+|\d+h\d+m\d+s"
 #: One token of a line: a bracketed stretch, a starred or dashed sound, a bare time mark, a word, white space, any other character.
+_IN = lambda a, b: rf"[^{a}{b}\n]*(?:\n(?!\s*\n)[^{a}{b}\n]*)*"  # noqa: E731  (no bracket, no blank line)
 TOKEN = re.compile(
-    r"(?P<bracket>\(\([^()\n]{0,80}\)\)|\([^()]{0,80}\)|\[[^\[\]]{0,80}\]|\{[^{}]{0,80}\}|<[^<>]{0,80}>)"
-    r"|(?P<starred>\*[^*\n]{1,40}\*)|(?P<dashed>[–—]\s(?:\w+\s){1,3}[–—](?=\s|$))"
+    rf"(?P<bracket>\(\([^()\n]*\)\)|\({_IN('(', ')')}\)|\[{_IN(r'\[', r'\]')}\]|\{{{_IN('{', '}')}\}}|<{_IN('<', '>')}>)"
+    r"|(?P<starred>\*[^*\n]+\*)|(?P<dashed>[–—][^\S\n](?:\w+[^\S\n])+[–—](?=\s|$))"
     r"|(?P<time>(?<![\w.])(?:\d{1,2}:\d{2}:\d{2}|\d+h\d{2}m\d{2}s)(?![\w]))"
     r"|(?P<word>\w+)|(?P<space>\s+)|(?P<other>.)",
     re.S,
@@ -54,11 +55,99 @@ def is_annotation(kind: str, token: str) -> bool:
     return kind == "starred" or is_sound(inner)
 
 
+class Line(NamedTuple):
+    """A line of a transcript: who its label names (None: the speaker before goes on) and what is left of it without cue, time and label."""
+
+    speaker: str | None
+    text: str
+
+
+_CLOCK = r"(?:\d{1,3}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?"
+_CUE = re.compile(rf"\s*{_CLOCK}\s*-->\s*{_CLOCK}(?:\s+\S+)*\s*\Z")
+_VOICE = re.compile(r"\s*<v(?:\.[\w.]+)?\s+([^<>]+)>")
+_LEADING_TIME = re.compile(rf"\s*(?:[\[(]{_CLOCK}[\])]|{_CLOCK}(?=\s+[-–—]|\s*\t|\s+[A-ZÅÄÖ]))\s*[-–—]?\s*")
+_NAMED = re.compile(r"\s*(?:>>\s*|[-–—]\s+)?((?:[A-ZÅÄÖÉÜ][\w.'’\-]*)(?:[ \t]+(?:\([^()\n]*\)|[\w.'’\-]+)){0,6})\s*:(?=\s|\Z)")
+_is_caption = lambda text: "-->" in text or text.startswith(("WEBVTT", "\ufeffWEBVTT"))
+_TAG = re.compile(r"</?(?:v|c|i|b|u|ruby|rt|lang|font)(?:[.\s][^<>]*)?>|<\d[\d:.]*>")
+
+
+def transcript_lines(text: str | None) -> list[Line]:
+    """The lines of a transcript in one of the known layouts, without cue numbers, time lines, notes and labels.
+
+    Layouts: SubRip and WebVTT captions (number or name of the cue, time line, text until a blank line; `<v Name>`
+    names the speaker; NOTE, STYLE and REGION blocks are no speech), lines with a time before them, and lines
+    `Name: text`, `>> Name: text`, `- Name: text`. States: at the head of a caption file, between cues (what stands
+    before a time line is the cue's name), in a cue's text, in a block that is skipped, in plain lines. A line
+    without a label belongs to the speaker before; a blank line ends a cue and changes nothing else.
+    """
+    if not text:
+        return []
+    lines = text.lstrip("\ufeff").splitlines()
+    state = "between" if _is_caption(text) else "plain"
+    out: list[Line] = []
+    waiting: list[str] = []
+    for k, line in enumerate(lines):
+        if state != "plain":
+            if not line.strip():
+                # What waits for a time line that never came is text.
+                out += [_labelled(w) for w in waiting]
+                waiting, state = [], "between"
+            elif state == "skip":
+                pass
+            elif _CUE.match(line):
+                waiting, state = [], "cue"
+            elif state == "cue":
+                out.append(_labelled(line))
+            elif k == 0 and line.startswith("WEBVTT") or not waiting and re.match(r"(?:NOTE|STYLE|REGION)(?:\s|\Z)", line):
+                state = "skip"
+            else:
+                waiting.append(line)
+        else:
+            out.append(_labelled(line))
+    return out + [_labelled(w) for w in waiting]
+
+
+def _labelled(line: str) -> Line:
+    m = _VOICE.match(line)
+    if m:
+        return Line(m.group(1).strip(), _TAG.sub("", line[m.end() :]))
+    m = _LEADING_TIME.match(line)
+    line = _TAG.sub("", line[m.end() :] if m else line)
+    m = _NAMED.match(line)
+    return Line(m.group(1), line[m.end() :].lstrip()) if m else Line(None, line)
+
+
+def transcript_turns(text: str | None) -> list[Line]:
+    """The turns of a transcript: clean text of consecutive lines of one speaker; lines without a spoken word part nothing. Labels are the same if they name the same person or are equal but for case and white space."""
+    out: list[Line] = []
+    last = None
+    now: str | None = None
+    for speaker, raw in transcript_lines(text):
+        now = speaker if speaker is not None else now
+        clean = speech_of_line(raw)
+        if not any(map(str.isalnum, clean)):
+            continue
+        key = parse_label(now) or (" ".join(now.split()).casefold() if now else None)
+        if out and key == last:
+            out[-1] = Line(out[-1].speaker, out[-1].text + "\n" + clean)
+        else:
+            out.append(Line(now, clean))
+        last = key
+    return out
+
+
 def speech(text: str | None) -> str:
-    """The spoken text of a segment: time marks, annotations and standalone fillers gone, white space evened, line breaks kept.
+    """The spoken text of a segment: cues, time marks, annotations and standalone fillers gone, white space evened, line breaks kept. Null and blank texts give ''."""
+    if text and _is_caption(text):
+        text = "\n".join(x.text for x in transcript_lines(text))
+    return speech_of_line(text)
+
+
+def speech_of_line(text: str | None) -> str:
+    """`speech` of text in no caption layout.
 
     States: between tokens (skip), in speech (keep), after a dropped filler (its comma or dots go with
-    it). A bracket that holds speech is parsed by the same machine. Null and blank texts give ''.
+    it). A bracket that holds speech is parsed by the same machine.
     """
     if not text:
         return ""
@@ -83,7 +172,8 @@ def speech(text: str | None) -> str:
         elif is_annotation(kind, token):
             continue
         else:
-            out.append(token[0] + speech(token[1:-1]) + token[-1] if kind == "bracket" else token)
+            inner = speech_of_line(token[1:-1])
+            out.append(token[0] + (inner if kind == "bracket" else f" {inner} ") + token[-1])
             after_filler = False
     s = re.sub(r" +", " ", "".join(out))
     s = re.sub(r" ?\n[ \n]*", "\n", s)
@@ -92,6 +182,12 @@ def speech(text: str | None) -> str:
 
 def has_speech(text: str | None) -> bool:
     """Whether any spoken word is left; stops at the first one."""
+    if text and _is_caption(text):
+        return any(_has_word(x.text) for x in transcript_lines(text))
+    return _has_word(text)
+
+
+def _has_word(text: str | None) -> bool:
     if not text:
         return False
     for m in TOKEN.finditer(text):
@@ -99,11 +195,9 @@ def has_speech(text: str | None) -> bool:
         if kind == "word":
             if not FILLER.match(token):
                 return True
-        elif kind == "bracket":
-            if not is_annotation(kind, token) and has_speech(token[1:-1]):
+        elif kind in ("bracket", "dashed"):
+            if not is_annotation(kind, token) and _has_word(token[1:-1]):
                 return True
-        elif kind in ("starred", "dashed") and not is_annotation(kind, token):
-            return True
     return False
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from plenumspark.llm.transcript import has_speech, parse_label, speech
 from plenumspark.operators.persons import resolve
 from plenumspark.operators.runs import number_runs
-from plenumspark.session import checkpointed
+from plenumspark.session import checkpointed, spread
 
 NO_NOTE = "missing"
 
@@ -38,8 +38,10 @@ def _settled(rows: DataFrame, notes: DataFrame) -> DataFrame:
     then party point to; none if that leaves more than one.
     """
     used = rows.where(F.coalesce(F.col("speaker_note_id"), F.lit(NO_NOTE)) != NO_NOTE).select("protocol_name", "speaker_note_id", "speaker").distinct()
-    labels = notes.select("speaker_note_id", "speaker_note").distinct().withColumn("l", label("speaker_note")).select("speaker_note_id", "l.*").where("family IS NOT NULL")
-    l = used.join(labels, "speaker_note_id")
+    # Only notes in use are parsed, each once.
+    wanted = notes.select("speaker_note_id", "speaker_note").join(used.select("speaker_note_id").distinct(), "speaker_note_id", "left_semi").distinct()
+    labels = wanted.withColumn("l", label("speaker_note")).select("speaker_note_id", "l.*").where("family IS NOT NULL")
+    l = checkpointed(used.join(labels, "speaker_note_id"))
     kept = lambda c: F.collect_set(F.when(F.col(c) != "", F.col(c)))
     known = l.where("speaker IS NOT NULL").groupBy("protocol_name", "family", "speaker").agg(kept("place").alias("places"), kept("given").alias("givens"), kept("party").alias("parties"))
     unknown = l.where("speaker IS NULL").drop("speaker")
@@ -60,10 +62,10 @@ def speaker_segments(segments: DataFrame, notes: DataFrame, person: DataFrame) -
     Returns protocol_name, place, u_id, speaker, speaker_note_id, turn_no.
     """
     place = F.regexp_extract("name", r"(\d+)$", 1).try_cast("long")
-    rows = segments.where(F.col("protocol_name").isNotNull()).where(spoken("data")).withColumn("place", F.coalesce(place, F.lit(0)))
-    rows = rows.select("protocol_name", "place", "u_id", "who", "speaker_note_id").distinct()
-    # The settled labels and the turns both come from these rows; the texts are parsed once.
-    rows = checkpointed(resolve(rows, "who", person, "speaker").drop("who"))
+    rows = spread(segments.where(F.col("protocol_name").isNotNull()).withColumn("place", F.coalesce(place, F.lit(0))).select("protocol_name", "place", "u_id", "who", "speaker_note_id", "data"))
+    rows = rows.where(spoken("data")).drop("data")
+    # The settled labels and the turns both come from these rows.
+    rows = checkpointed(resolve(rows.distinct(), "who", person, "speaker").drop("who"))
     found = _settled(rows, notes)
     rows = rows.join(found, ["protocol_name", "speaker_note_id"], "left").withColumn("speaker", F.coalesce("speaker", "named")).drop("named")
     key = F.coalesce(F.concat(F.lit("p"), F.col("speaker")), F.concat(F.lit("n"), F.coalesce("speaker_note_id", F.lit(""))))
@@ -77,15 +79,16 @@ def speaker_turns(segments: DataFrame, notes: DataFrame, person: DataFrame, with
     person in `who`, else the known speaker of the protocol its note names, else `unknown`; unknown
     segments form a run while speaker_note_id stays the same. Order is the number that ends `name`
     (0 if there is none), ties by u_id. Repeated rows count once; segments without protocol are left out.
-    Texts join the numbered segments at the end, so they are shuffled for that and the turn alone; a
-    segment without u_id has a turn but no text.
+    Texts are read up to their first spoken word to number the segments and are cleaned on their way to the
+    numbered segments at the end, shuffled for that and the turn alone; a segment without u_id has a turn but no text.
     """
-    rows = speaker_segments(segments, notes, person)
     at = F.struct("place", "u_id")
+    rows = speaker_segments(segments, notes, person)
     aggs = [F.min_by("u_id", at).alias("first_u_id"), F.max_by("u_id", at).alias("last_u_id"), F.coalesce(F.first("speaker"), F.lit("unknown")).alias("speaker_id")]
     if with_text:
-        texts = segments.select("u_id", "data").where("u_id IS NOT NULL").dropDuplicates(["u_id"]).select("u_id", clean("data").alias("text"))
+        texts = spread(segments.select("u_id", "data").where("u_id IS NOT NULL AND data IS NOT NULL")).select("u_id", clean("data").alias("text"))
         rows = rows.join(texts, "u_id", "left")
-        ordered = F.sort_array(F.collect_list(F.struct("place", "u_id", F.coalesce("text", F.lit("")).alias("text"))))
+        # Repeated rows bring the same text again.
+        ordered = F.sort_array(F.collect_set(F.struct("place", "u_id", F.coalesce("text", F.lit("")).alias("text"))))
         aggs.append(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
     return rows.groupBy("protocol_name", F.col("turn_no").cast("int").alias("turn_no")).agg(*aggs)

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from plenumspark.llm import turns
-from plenumspark.llm.transcript import Label, has_speech, parse_label, speech
+from plenumspark.llm.transcript import Label, has_speech, parse_label, speech, transcript_turns
 
 
 @pytest.mark.parametrize(
@@ -111,3 +111,32 @@ def test_long_protocol(spark, notes, person):
                 want.append([len(want) + 1, f"u{i}", f"u{i}", w])
             last = w
     assert got(turns.speaker_turns(s, notes, person)) == [tuple(w) for w in want]
+
+
+CAPTIONS = {
+    "srt": ("1\n00:00:01,000 --> 00:00:04,000\nAnna Berg: Herr talman!\n\n2\n00:00:05,000 --> 00:00:06,500\neh jag yrkar\nbifall. [applåder]\n\n3\n00:00:07,000 --> 00:00:08,000\nTALMANNEN: Tack.\n", [("Anna Berg", "Herr talman!\njag yrkar\nbifall."), ("TALMANNEN", "Tack.")]),
+    "vtt": ("WEBVTT - Kammaren\n\nNOTE ingen text\nalls\n\nSTYLE\n::cue {}\n\nintro\n00:01.000 --> 00:04.000 align:start\n<v Anna Berg>Herr <i>talman</i>!</v>\n\n00:05.000 --> 00:06.000\n<v.loud Bo Ek>Nej, <00:05.500>nej!\n", [("Anna Berg", "Herr talman!"), ("Bo Ek", "Nej, nej!")]),
+    "lines": ("[00:12:01] Anna Berg: Herr talman!\n[00:12:05] Jag yrkar: bifall.\n12:07 Bo Ek: Nej.\n\n>> ANNA BERG: Jo.\n- Bo Ek: Hm.\n- Bo Ek: Jaha.", [("Anna Berg", "Herr talman!"), ("Jag yrkar", "bifall."), ("Bo Ek", "Nej."), ("ANNA BERG", "Jo."), ("Bo Ek", "Jaha.")]),
+    "uneven labels": ("Herr BERG i Ås: Ja.\nHerr Berg i Ås: Och nej.\nhan gick: hem", [("Herr BERG i Ås", "Ja.\nOch nej.\nhan gick: hem")]),
+    "no cue": ("WEBVTT\n\nbara text\n\n00:01.000 --> 00:02.000\nslut", [(None, "bara text\nslut")]),
+    "plain": ("en rad\n\ntvå", [(None, "en rad\ntvå")]), "empty": ("", []), "blank": (" \n", []),
+}
+
+
+@pytest.mark.parametrize("layout", CAPTIONS)
+def test_layouts(layout):
+    text, want = CAPTIONS[layout]
+    assert [tuple(t) for t in transcript_turns(text)] == want
+
+
+def test_captions_leave_speech_alone():
+    text = "7\n00:00:01,000 --> 00:00:04,000\n[applåder]\n\n8\n00:00:05,000 --> 00:00:06,000\neh\n"
+    assert speech(text) == "" and not has_speech(text) and not has_speech(None)
+    assert speech("1\n00:00:01,000 --> 00:00:04,000\nVi är 12\n") == "Vi är 12"
+
+
+def test_long_marks():
+    sound = "applåder " + "från läktarna i kammaren och salen " * 9
+    assert speech(f"Ja ({sound}) nej [{'en lång anmärkning ' * 20}] *{'hostar ' * 30}* – {sound}– ja") == "Ja nej ja"
+    assert speech(f"Det (som {'vi ' * 60}minns) var") == f"Det (som {'vi ' * 60}minns) var"
+    assert speech("a [b\n\nc] d") == "a [b\nc] d" and has_speech("– eh –") is False and speech("Han – eh och hon – gick") == "Han – och hon – gick"
