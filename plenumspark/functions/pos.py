@@ -5,28 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Tag:group in the order of the tags' numbers.
-_SCHEMES = {
-    "SUC": """
-        AB:Adverb DT:Pronoun HA:Adverb HD:Pronoun HP:Pronoun HS:Pronoun IE:Adverb IN:Adverb JJ:Adjective KN:Conjunction
-        NN:Noun PC:Verb PL:Adverb PM:Noun PN:Pronoun PP:Preposition PS:Pronoun RG:Numeral RO:Numeral SN:Conjunction UO:Other
-        VB:Verb MAD:Delimiter MID:Delimiter PAD:Delimiter""",
-    "Universal": """
-        ADJ:Adjective ADP:Preposition ADV:Adverb AUX:Other CONJ:Conjunction CCONJ:Conjunction DET:Pronoun INTJ:Adverb
-        NOUN:Noun NUM:Numeral PART:Adverb PRON:Pronoun PROPN:Noun PUNCT:Delimiter SCONJ:Conjunction SYM:Other VERB:Verb
-        X:Other EOL:Delimiter SPACE:Delimiter""",
-    "PennTree": """
-        $:Other ``:Delimiter '':Delimiter ,:Delimiter -LRB-:Delimiter -RRB-:Delimiter .:Delimiter ::Delimiter ADD:Other
-        AFX:Adjective CC:Conjunction CD:Numeral DT:Pronoun EX:Pronoun FW:Other GW:Other HYPH:Delimiter IN:Preposition
-        JJ:Adjective JJR:Adjective JJS:Adjective LS:Other MD:Verb NFP:Delimiter NIL:Other NN:Noun NNP:Noun NNPS:Noun NNS:Noun
-        PDT:Pronoun POS:Adverb PRP:Pronoun PRP$:Pronoun RB:Adverb RBR:Adverb RBS:Adverb RP:Adverb SP:Delimiter SYM:Other
-        TO:Adverb UH:Adverb VB:Verb VBD:Verb VBG:Verb VBN:Verb VBP:Verb VBZ:Verb WDT:Pronoun WP:Pronoun WP$:Pronoun WRB:Adverb
-        XX:Other _SP:Delimiter""",
+# Fixed values: (tag, group) in the order of the tags' numbers.
+_TAGS = {
+    "SUC": [
+        ("AB", "Adverb"), ("DT", "Pronoun"), ("HA", "Adverb"), ("HD", "Pronoun"), ("HP", "Pronoun"), ("HS", "Pronoun"), ("IE", "Adverb"),
+        ("IN", "Adverb"), ("JJ", "Adjective"), ("KN", "Conjunction"), ("NN", "Noun"), ("PC", "Verb"), ("PL", "Adverb"), ("PM", "Noun"),
+        ("PN", "Pronoun"), ("PP", "Preposition"), ("PS", "Pronoun"), ("RG", "Numeral"), ("RO", "Numeral"), ("SN", "Conjunction"), ("UO", "Other"),
+        ("VB", "Verb"), ("MAD", "Delimiter"), ("MID", "Delimiter"), ("PAD", "Delimiter"),
+    ],
+    "Universal": [
+        ("ADJ", "Adjective"), ("ADP", "Preposition"), ("ADV", "Adverb"), ("AUX", "Other"), ("CONJ", "Conjunction"), ("CCONJ", "Conjunction"),
+        ("DET", "Pronoun"), ("INTJ", "Adverb"), ("NOUN", "Noun"), ("NUM", "Numeral"), ("PART", "Adverb"), ("PRON", "Pronoun"), ("PROPN", "Noun"),
+        ("PUNCT", "Delimiter"), ("SCONJ", "Conjunction"), ("SYM", "Other"), ("VERB", "Verb"), ("X", "Other"), ("EOL", "Delimiter"),
+        ("SPACE", "Delimiter"),
+    ],
+    "PennTree": [
+        ("$", "Other"), ("``", "Delimiter"), ("''", "Delimiter"), (",", "Delimiter"), ("-LRB-", "Delimiter"), ("-RRB-", "Delimiter"),
+        (".", "Delimiter"), (":", "Delimiter"), ("ADD", "Other"), ("AFX", "Adjective"), ("CC", "Conjunction"), ("CD", "Numeral"), ("DT", "Pronoun"),
+        ("EX", "Pronoun"), ("FW", "Other"), ("GW", "Other"), ("HYPH", "Delimiter"), ("IN", "Preposition"), ("JJ", "Adjective"), ("JJR", "Adjective"),
+        ("JJS", "Adjective"), ("LS", "Other"), ("MD", "Verb"), ("NFP", "Delimiter"), ("NIL", "Other"), ("NN", "Noun"), ("NNP", "Noun"),
+        ("NNPS", "Noun"), ("NNS", "Noun"), ("PDT", "Pronoun"), ("POS", "Adverb"), ("PRP", "Pronoun"), ("PRP$", "Pronoun"), ("RB", "Adverb"),
+        ("RBR", "Adverb"), ("RBS", "Adverb"), ("RP", "Adverb"), ("SP", "Delimiter"), ("SYM", "Other"), ("TO", "Adverb"), ("UH", "Adverb"),
+        ("VB", "Verb"), ("VBD", "Verb"), ("VBG", "Verb"), ("VBN", "Verb"), ("VBP", "Verb"), ("VBZ", "Verb"), ("WDT", "Pronoun"), ("WP", "Pronoun"),
+        ("WP$", "Pronoun"), ("WRB", "Adverb"), ("XX", "Other"), ("_SP", "Delimiter"),
+    ],
 }
 #: scheme -> {tag: (number, group)}
-SCHEMES = {
-    name: {tag: (i, group) for i, (tag, group) in enumerate(x.rsplit(":", 1) for x in text.split())} for name, text in _SCHEMES.items()
-}
+SCHEMES = {name: {tag: (i, group) for i, (tag, group) in enumerate(tags)} for name, tags in _TAGS.items()}
 #: The number of a tag that the scheme doesn't have; 0 is a tag's.
 UNKNOWN = -1
 

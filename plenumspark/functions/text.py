@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -73,37 +73,44 @@ def zero_fill(x: Column | str, width: int = 3) -> Column:
     return F.format_string(f"%0{width}d", _c(x).cast("long"))
 
 
-def _slug(value: str | None, allow_unicode: bool) -> str | None:
-    if value is None:
-        return None
-    folded = unicodedata.normalize("NFKC" if allow_unicode else "NFKD", value).lower()
-    kept = (" " if c.isspace() or c == "-" else c for c in folded if c.isspace() or c in "-_" or (c.isalnum() and (allow_unicode or c.isascii())))
-    return "-".join("".join(kept).split()).strip("-_")
+@F.pandas_udf(T.StringType())
+def _composed(x: pd.Series) -> pd.Series:
+    return x.str.normalize("NFKC")
 
 
 @F.pandas_udf(T.StringType())
-def _slug_ascii(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: _slug(v, False), na_action="ignore")
+def _decomposed(x: pd.Series) -> pd.Series:
+    return x.str.normalize("NFKD")
 
 
-@F.pandas_udf(T.StringType())
-def _slug_unicode(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: _slug(v, True), na_action="ignore")
+def _normalized(x: Column, form: Callable[[Column], Column]) -> Column:
+    """A Unicode normal form. ASCII texts have it and reach the worker as nulls."""
+    other = x.rlike(r"[^\x00-\x7f]")
+    return F.when(other, form(F.when(other, x))).otherwise(x)
 
 
 def slugify(x: Column | str, allow_unicode: bool = False) -> Column:
     """Lower case, words joined by single hyphens; ASCII unless `allow_unicode`."""
-    return (_slug_unicode if allow_unicode else _slug_ascii)(_c(x))
+    low = F.lower(_normalized(_c(x), _composed if allow_unicode else _decomposed))
+    words = F.regexp_replace(low, r"(?U)[^\w\s-]|[\p{Mn}\p{Pc}&&[^_]]" if allow_unicode else r"[^a-z0-9_\s\x1c-\x1f-]", "")
+    return F.regexp_replace(F.regexp_replace(words, r"(?U)[\s\x1c-\x1f-]+", "-"), "^[-_]+|[-_]+$", "")
 
 
-@F.pandas_udf(T.StringType())
-def _without_accents(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)), na_action="ignore")
+# Letters that have no decomposition and their ASCII spelling.
+_SPELLED = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ł": "l", "Ł": "L", "ı": "i"}
+
+
+def without_accents(x: Column | str) -> Column:
+    """Letters without their marks; those that can't be taken apart are spelled in ASCII."""
+    plain = F.regexp_replace(_normalized(_c(x), _decomposed), r"\p{M}+", "")
+    for letter, ascii_ in _SPELLED.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(ascii_))
+    return plain
 
 
 def sanitize(x: Column | str, remove_accents: bool = True) -> Column:
     """A file name: every character but letters, digits, # and _ becomes _."""
-    out = _without_accents(_c(x)) if remove_accents else _c(x)
+    out = without_accents(x) if remove_accents else _c(x)
     return F.regexp_replace(out, "[^a-zåäöA-ZÅÄÖ#0-9_]", "_")
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Bits of a word, as a power of two, and levels of the bitmap: 4 levels of 64 cover 2**24 units.
-BITS, LEVELS = 6, 4
+#: Bits of a word, as a power of two, and levels of the bitmap: with 10 levels of 64 no run of the time line is longer than a few words of the last.
+BITS, LEVELS = 6, 10
+#: Units reach from -LIMIT to LIMIT.
+LIMIT = 1 << 61
 WORD = 1 << BITS
 
 
@@ -24,7 +26,7 @@ def _run(level: int, a: Column, b: Column) -> Column:
 def run_bitmap(spans: DataFrame) -> DataFrame:
     """(entity, level, word, bits): the union of all spans as a compressed run bitmap.
 
-    `spans` has entity and the units first..last, both included, 0 <= first <= last < 2**24. A bit of
+    `spans` has entity and the units first..last, both included, first <= last. A bit of
     level l stands for 64**l units; a span sets single units at its ends and whole words above them, at
     most two words a level, however long it is. Words are united by a bitwise-or aggregate that combines
     before the shuffle, so an entity with many rows costs no more than its distinct words.
@@ -67,9 +69,10 @@ def periods_and_gaps(spans: DataFrame) -> DataFrame:
 
     Spans that overlap, nest or follow without a free unit are one period. What one window partition
     holds is an entity's distinct runs, bounded by the time line and not by its rows. Null entities or
-    ends and reversed spans count for nothing; empty input gives no rows.
+    ends and reversed spans count for nothing; empty input gives no rows. Units beyond LIMIT fail the query.
     """
-    ok = spans.where(f"entity IS NOT NULL AND first IS NOT NULL AND last IS NOT NULL AND first <= last AND first >= 0 AND last < {WORD ** LEVELS}").select("entity", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).distinct()
+    within = F.when(F.greatest(F.abs("first"), F.abs("last")) > LIMIT, F.raise_error(F.lit(f"units beyond {LIMIT}"))).otherwise(F.lit(True))
+    ok = spans.where("entity IS NOT NULL AND first IS NOT NULL AND last IS NOT NULL AND first <= last").where(within).select("entity", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).distinct()
     runs = set_runs(run_bitmap(ok))
     order = W.partitionBy("entity").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))

@@ -11,7 +11,7 @@ from plenumspark.operators.drift import schema_changes, union_schema, union_tabl
 from plenumspark.operators.intervals import day_unit, periods_and_gaps, unit_day
 from plenumspark.operators.orphans import orphans
 from plenumspark.operators.persons import names_somebody, resolve
-from plenumspark.session import table
+from plenumspark.session import checkpointed, table
 
 
 def _attributed(spark: SparkSession, d: str) -> DataFrame:
@@ -20,7 +20,7 @@ def _attributed(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "protocol_segments").select("u_id", "who", "year").where(F.col("year").isNotNull() & names_somebody(F.col("who")))
     party = resolve(table(spark, d, "person_party").select("person_party_id", "person_id", "start_date", "end_date", "recorded_at"), "person_id", person)
     # One row per distinct speaker and year goes through the lookup; segments are touched twice, for the keys and at the end.
-    keys = resolve(events.select("who", "year").distinct(), "who", person).withColumn("at", F.make_date(F.col("year"), F.lit(1), F.lit(1)))
+    keys = checkpointed(resolve(events.select("who", "year").distinct(), "who", person)).withColumn("at", F.make_date(F.col("year"), F.lit(1), F.lit(1)))
     found = known_at(keys, party, event_entity="person_key", event_time="at", entity="person_key", start="start_date", end="end_date", known="recorded_at", row_key="person_party_id")
     keys = keys.join(found, (keys["person_key"] == found["entity"]) & (wall_micros(keys["at"]) == found["event_micros"])).select("who", "year", F.col("row_key").alias("person_party_id"))
     return events.join(keys, ["who", "year"]).select("u_id", "person_party_id").distinct()

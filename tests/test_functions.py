@@ -139,3 +139,35 @@ def test_pos_schemes(spark):
     with pytest.raises(ValueError):
         pos.scheme("none")
     assert pos.scheme_table(spark).count() == 25
+
+
+def test_tokenizer_rules(spark, tmp_path):
+    """A lexicon's tokens stay whole, a configuration file sets the rules, and tokenizers are registered by name."""
+    cut = lambda rules, t: [t[a:b] for a, b in rules.spans(t)]
+    assert cut(tokenize.Rules(["c/o", "AB:s"]), "c/o AB:s C/O") == ["c/o", "AB:s", "C/O"] and cut(tokenize.RULES, "c/o") == ["c", "/", "o"]
+    (tmp_path / "rules").write_text("# tecken\nstart: (\nwithin: )\nend: .\nmulti: -{2,}\nnumber: \\d+,\\d+\nmisc_tag: <\\w+>\n\nabbreviations:\nt.ex\n", encoding="utf-8")
+    (tmp_path / "words").write_text("c/o\n", encoding="utf-8")
+    rules = tokenize.Rules.load(str(tmp_path / "rules"), str(tmp_path / "words"))
+    assert cut(rules, "(c/o) <b>x 3,5 t.ex. ja--nej.") == ["(", "c/o", ")", "<b>", "x", "3,5", "t.ex.", "ja", "--", "nej", "."]
+    with pytest.raises(ValueError, match="unknown option"):
+        (tmp_path / "bad").write_text("other: 1\n")
+        tokenize.Rules.load(str(tmp_path / "bad"))
+    tokenize.register_tokenizer("letters", lambda t: [(i, i + 1) for i in range(len(t or ""))])
+    row = spark.createDataFrame([("ab",), (None,)], "t string").select(tokenize.tokens("t", "letters").alias("x"), tokenize.pretokenize("t").alias("y")).collect()
+    assert [tuple(r) for r in row] == [(["a", "b"], "ab"), ([], "")]
+    with pytest.raises(ValueError, match="unknown tokenizer"):
+        tokenize.tokens("t", "none")
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [("http://a.se/x#y, a.b@c.se", ["http://a.se/x#y", ",", "a.b@c.se"]), ("ja :) och >:-( :@", ["ja", ":)", "och", ">:-(", ":@"]), ("slut . . . ja", ["slut", ". . .", "ja"]), ("i U.S.A. nu", ["i", "U.S.A.", "nu"]), ("T.ex.", ["T.ex", "."])],
+)
+def test_special_tokens(given, want):
+    assert tokenize.words(given) == want
+
+
+def test_letters_without_decomposition(spark):
+    df = spark.createDataFrame([("Straße Ærø Łódź é",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.sanitize("t")).collect()] == ["Strasse_AEro_Lodz_e", "plain", None]
+    assert [r[0] for r in df.select(text.slugify("t", True)).collect()] == ["straße-ærø-łódź-é", "plain", None]

@@ -178,3 +178,13 @@ def test_references(spark):
     got = {r["wiki_key"]: r["out"] for r in persons.resolve(df, "ref", person, "out").collect()}
     assert got == {i: w for i, (_, w) in enumerate(given)}
     assert persons.resolve(df.limit(0), "ref", person).count() == 0 and persons.resolve(df, "ref", person.limit(0)).count() == len(given)
+
+
+def test_periods_on_a_long_time_line(spark):
+    """Units far beyond 2**24 and below 0, as milliseconds are."""
+    ms = 1_700_000_000_000
+    rows = [("a", ms, ms + 10), ("a", ms + 11, ms + 20), ("a", ms + 10**9, ms + 2 * 10**9), ("b", -500, -3), ("b", -2, 4), ("b", 10, 1 << 60)]
+    got = sorted(map(tuple, intervals.periods_and_gaps(spark.createDataFrame(rows, "entity string, first long, last long")).collect()))
+    assert got == [("a", "gap", ms + 21, ms + 10**9 - 1), ("a", "period", ms, ms + 20), ("a", "period", ms + 10**9, ms + 2 * 10**9), ("b", "gap", 5, 9), ("b", "period", -500, 4), ("b", "period", 10, 1 << 60)]
+    with pytest.raises(Exception, match="units beyond"):
+        intervals.periods_and_gaps(spark.createDataFrame([("a", 0, (1 << 62))], "entity string, first long, last long")).collect()
