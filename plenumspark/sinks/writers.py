@@ -5,9 +5,10 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import lzma
 import os
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plenumspark.functions.text import slugify
+from plenumspark.functions.tokenize import plain_words
 from plenumspark.operators.numbering import number_rows
 
 COMPRESSION = {"csv": "none", "gzip": "gzip", "bz2": "bzip2", "zstd": "zstd", "none": "none"}
@@ -154,7 +156,67 @@ def write_database(df: DataFrame, url: str, name: str, **options: str) -> None:
     df.write.format("jdbc").mode("overwrite").options(url=url, dbtable=name, **options).save()
 
 
-WRITERS: dict[str, Callable] = {"files-in-folder": write_folder, "files-in-zip": write_zip, "checkpoint-per-group": write_zip_per_period, "partitioned": write_partitioned}
+def write_sorted_speeches(items: DataFrame, path: str, labels: Sequence[str] = ()) -> int:
+    """One archive of speeches (name, data, and the label columns, speaker and person if there), in order of their slugs; tokens are counted anew from the texts."""
+    label = lambda c: F.col(c).cast("string") if c in items.columns else F.lit(None).cast("string")
+    named = speech_filename(F.col("name"), [label(c) for c in labels], label("speaker"), label("who"))
+    return write_zip(items.withColumn("filename", F.concat(named, F.lit(".txt"))).withColumn("n_tokens", F.size(plain_words(F.coalesce("data", F.lit(""))))), path)
+
+
+#: Targets of tagged frames: (whether strings become numbers, whether frames are parted by group).
+FRAME_TARGETS = {
+    "single-tagged-frame": (False, False), "single-tagged-frame-per-group": (False, True),
+    "single-id-tagged-frame": (True, False), "single-id-tagged-frame-per-group": (True, True),
+}
+
+
+def _frame_files(folder: str, by: list[str], kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        for no, batch in enumerate(batches):
+            out = []
+            for group, pdf in batch.groupby(by, sort=True, dropna=False) if by else [((), batch)]:
+                # Names by task and batch: a task that runs again writes the same files.
+                place = os.path.join(folder, *[f"{c}={v}" for c, v in zip(by, group)])
+                os.makedirs(place, exist_ok=True)
+                name, pdf = os.path.join(place, f"part-{task:05d}-{no:05d}"), pdf.drop(columns=by).reset_index(drop=True)
+                if kind == "feather":
+                    path = name + ".feather"
+                    pdf.to_feather(path)
+                elif kind == "zip":
+                    path = name + ".csv.zip"
+                    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+                        z.writestr(os.path.basename(name) + ".csv", pdf.to_csv(sep="\t", index=False))
+                else:
+                    path = name + ".csv.xz"
+                    with open(path, "wb") as f:
+                        f.write(lzma.compress(pdf.to_csv(sep="\t", index=False).encode("utf-8")))
+                out.append((path, len(pdf)))
+            yield pd.DataFrame(out, columns=_WRITTEN.names)
+
+    return write
+
+
+def write_frames(rows: DataFrame, folder: str, by: Sequence[str] = (), kind: str = "parquet", order: Sequence[str] = ()) -> None:
+    """Token rows in folders by group; `kind` is parquet, feather, lzma, zip or a compression of delimited text.
+
+    Rows of a group are brought together in pieces of a size, so a group that holds a third of all rows is
+    written by many tasks. feather, lzma and zip files are written by the tasks to a shared folder.
+    """
+    by = list(by)
+    rows = rows.hint("rebalance", *by) if by else rows
+    rows = rows.sortWithinPartitions(*by, *order) if by or order else rows
+    if kind in ("feather", "lzma", "zip"):
+        rows.mapInPandas(_frame_files(folder, by, kind), _WRITTEN).agg(F.sum("n_items")).first()
+        return
+    w = rows.write.mode("overwrite")
+    w = w.partitionBy(*by) if by else w
+    w.parquet(folder) if kind == "parquet" else w.csv(folder, sep="\t", header=True, compression=compression(kind))
+
+
+WRITERS: dict[str, Callable] = {"files-in-folder": write_folder, "files-in-zip": write_zip, "checkpoint-per-group": write_zip_per_period, "partitioned": write_partitioned, "sorted-speeches-in-zip": write_sorted_speeches}
 
 
 def register_writer(name: str, writer: Callable) -> None:

@@ -108,3 +108,34 @@ def read_patterns(spark: SparkSession, path: str, extension: str = "zip") -> Dat
 def read_database(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     """A table of a database through its JDBC driver; the driver must be on the class path."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+
+
+def read_tables(spark: SparkSession, source: str, sep: str = ",") -> dict[str, DataFrame]:
+    """The delimited files of a folder, of one zip archive, or of archives in it, by file name without extension; all columns are strings."""
+    tables: dict[str, DataFrame] = {}
+    places = [source] if source.endswith(".zip") else sorted(r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,csv.gz,csv.bz2,tsv,zip}").load(source).select("path").collect())
+    for path in places:
+        name = path.rsplit("/", 1)[-1].split(".")[0]
+        if path.endswith(".zip"):
+            members = _members(spark, path).where(F.col("member").rlike(r"\.(csv|tsv)$"))
+            for r in members.select("member").distinct().collect():
+                lines = members.where(F.col("member") == r["member"]).select(F.explode("lines").alias("value"))
+                inner = r["member"].rsplit("/", 1)[-1].split(".")[0]
+                tables[inner] = spark.read.option("header", True).option("sep", "\t" if r["member"].endswith(".tsv") else sep).csv(lines.rdd.map(lambda x: x[0]))
+        else:
+            tables[name] = spark.read.option("header", True).option("sep", "\t" if ".tsv" in path else sep).csv(path)
+    return tables
+
+
+def _members(spark: SparkSession, path: str) -> DataFrame:
+    """(member, lines) of an archive."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in z.namelist():
+                        if not name.endswith("/"):
+                            yield pd.DataFrame({"member": [name], "lines": [z.read(name).decode("utf-8-sig").splitlines()]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "member string, lines array<string>")

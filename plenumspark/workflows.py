@@ -16,9 +16,10 @@ from plenumspark.operators.quality import changed_checksums, corpus_subset, file
 from plenumspark.operators.segment import segments
 from plenumspark.operators.tagged import filtered, id_frame, n_token_lines, term_counts, token_rows, vocabulary
 from plenumspark.operators.warehouse import build, version_table
+from plenumspark.session import checkpointed
 from plenumspark.sinks.markup import vrt, write_vrt
-from plenumspark.sinks.writers import document_index, item_filename, write_index, write_table, write_word_counts, writer
-from plenumspark.sources.files import read_tagged
+from plenumspark.sinks.writers import FRAME_TARGETS, document_index, item_filename, write_frames, write_index, write_table, write_word_counts, writer
+from plenumspark.sources.files import read_tables, read_tagged
 from plenumspark.sources.parlaclarin import corpus_index, read_elements, utterances
 from plenumspark.streaming.ingest import tag
 
@@ -63,36 +64,53 @@ def extract_text(spark: SparkSession, source: str, target: str, *, temporal=None
     if temporal is None and not keys:
         items = s.select("name", "who", "year", "protocol_name", "data").withColumn("filename", F.concat("name", F.lit(".txt"))).withColumn("period", F.coalesce(F.col("year").cast("string"), F.col("protocol_name")))
     else:
-        g = named_groups(group_segments(s.withColumn("n_tokens", F.lit(0)), temporal, keys), keys)
+        g = named_groups(group_segments(s.withColumn("n_tokens", F.size(plain_words(F.coalesce("data", F.lit(""))))), temporal, keys), keys)
         items = g.withColumn("filename", item_filename(F.col("period"), [F.col(k).cast("string") for k in keys]))
     return writer(target_type)(items, target)
 
 
 def extract_tagged(
-    spark: SparkSession, source: str, target: str, *, years: str | None = None, strategy: str = "chain", as_ids: bool = True, skip_text: bool = False, skip_lemma: bool = False, skip_punctuation: bool = False,
-    skip_stopwords: bool = False, lowercase: bool = True, temporal: str = "year",
+    spark: SparkSession, source: str, target: str, *, years: str | None = None, strategy: str = "chain", target_type: str | None = None, as_ids: bool = True, level: str = "speech", keys: Sequence[str] = (),
+    skip_text: bool = False, skip_lemma: bool = False, skip_punctuation: bool = False, skip_stopwords: bool = False, lowercase: bool = True, temporal: str = "year", kind: str = "parquet", metadata: Mapping[str, DataFrame] | None = None,
 ) -> dict[str, int]:
-    """Tagged frames of speeches by period as Parquet, their index and, for integer frames, the vocabulary; returns row counts."""
+    """Tagged frames of documents at a level (protocol, speech, who or utterance) in folders by period and keys, their index and, for integer frames, one vocabulary; returns row counts.
+
+    `target_type` is one of FRAME_TARGETS: strings or numbers, all in one frame or a frame and an index a
+    group; without it frames go by period, as numbers if `as_ids`. Keys are columns of the index: who,
+    protocol_name or, with metadata, a speaker's attributes; null keys are a group of their own.
+    """
     from plenumspark.functions.dates import period, year_of_date
     from plenumspark.operators.sequence import speech_numbers
 
+    if target_type is not None and target_type not in FRAME_TARGETS:
+        raise ValueError(f"unknown target: {target_type}; known: {', '.join(FRAME_TARGETS)}")
+    as_ids, per_group = FRAME_TARGETS[target_type] if target_type else (as_ids, True)
     u = read_tagged(spark, source, years).withColumn("year", year_of_date("date"))
-    s = speech_numbers(u, strategy).withColumn("document_name", F.concat("protocol_name", F.lit("_"), F.format_string("%03d", F.col("speech_index").cast("long"))))
+    s = speech_numbers(u, strategy) if level == "speech" else u
+    number = {"speech": "speech_index", "utterance": "u_idx"}
+    names = {c: F.concat("protocol_name", F.lit("_"), F.format_string("%03d", F.col(n).cast("long"))) for c, n in number.items()} | {"protocol": F.col("protocol_name"), "who": F.concat("protocol_name", F.lit("_"), F.coalesce("who", F.lit("unknown")))}
+    if level not in names:
+        raise ValueError(f"unknown level: {level}; known: {', '.join(names)}")
+    s = s.withColumn("document_name", names[level])
     s = s.withColumn("period", period("year", temporal, F.col("protocol_name")))
-    index = document_index(
-        s.groupBy("document_name", "period", "year").agg(F.min_by("u_id", "u_idx").alias("u_id"), F.min_by("who", "u_idx").alias("who"), F.sum(n_token_lines(F.col("annotation"))).alias("n_tokens"), F.count("*").alias("n_utterances")),
-        ["document_name"],
-    )
+    first = lambda c: F.min_by(c, "u_idx").alias(c)
+    documents = s.groupBy("document_name", "period", "year").agg(first("u_id"), first("who"), first("protocol_name"), F.sum(n_token_lines(F.col("annotation"))).alias("n_tokens"), F.count("*").alias("n_utterances"))
+    documents = with_speakers(documents, metadata) if metadata else documents
+    index = document_index(documents, ["document_name"])
+    groups = ["period", *keys] if per_group else []
     rows = token_rows(s.withColumnRenamed("u_idx", "utt"), ["document_name", "utt"]).withColumn("tok_idx", F.col("utt").cast("long") * (1 << 20) + F.col("tok_idx")).drop("utt")
-    rows = rows.join(index.select("document_name", "document_id", "period"), "document_name").drop("document_name")
+    rows = rows.join(index.select("document_name", "document_id", *groups), "document_name").drop("document_name")
     rows = filtered(rows, lowercase=lowercase, skip_text=skip_text, skip_lemma=skip_lemma, skip_punctuation=skip_punctuation, skip_stopwords=skip_stopwords)
     if as_ids:
         v = vocabulary(rows)
         rows = id_frame(rows, v)
         v.write.mode("overwrite").parquet(f"{target}/token2id")
-    rows.repartition("period").sortWithinPartitions("document_id", "tok_idx").write.mode("overwrite").partitionBy("period").parquet(f"{target}/frames")
+    rows = checkpointed(rows)
+    write_frames(rows, f"{target}/frames", groups, kind, ["document_id", "tok_idx"])
     write_index(index, f"{target}/document_index")
-    return {"documents": index.count(), "tokens": spark.read.parquet(f"{target}/frames").count()}
+    if keys and per_group:
+        write_frames(index, f"{target}/document_index_by_group", groups, "parquet", ["document_id"])
+    return {"documents": index.count(), "tokens": rows.count()}
 
 
 def extract_speech_index(spark: SparkSession, source: str, target: str, *, strategy: str = "chain", years: str | None = None, metadata: Mapping[str, DataFrame] | None = None) -> None:
@@ -121,6 +139,11 @@ def build_metadata(spark: SparkSession, raw: Mapping[str, DataFrame], target: st
     version_table(spark, version).write.mode("overwrite").parquet(f"{target}/version")
 
 
+def build_metadata_files(spark: SparkSession, source: str, target: str, *, version: str = "local") -> None:
+    """`build_metadata` of the delimited files (csv, also packed or within zip archives) of a folder, one table a file name."""
+    build_metadata(spark, read_tables(spark, source), target, version)
+
+
 def build_corpus_index(spark: SparkSession, source: str, target: str, *, years: str | None = None) -> None:
     """The corpus index as delimited text; the documents are parsed once and kept as Parquet."""
     read_elements(spark, source, years).write.mode("overwrite").parquet(f"{target}/elements")
